@@ -25,35 +25,26 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-def _ranges(wanted: str) -> str:
-    """Character class body of all code points whose general category starts with `wanted`."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(wanted)
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-@lru_cache(1)
-def pattern() -> str:
-    """The pattern of public byte-level BPE, with its classes spelled out for ``re``."""
-    # Contractions, and the code points with the White_Space property.
-    contractions = "'s|'t|'re|'ve|'m|'ll|'d"
-    space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    letter, number = _ranges("L"), _ranges("N")
-    return f"{contractions}| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+# Contractions, and the code points with the White_Space property.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: The pattern of public byte-level BPE for any text, and a faster one for texts in which
+#: Python's own classes agree with it: no underscore, no other white space than
+#: White_Space, no numeral that is not a decimal digit.
+_ANY = regex.compile(rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
+_PLAIN = re.compile(rf"{_CONTRACTIONS}| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+").findall
+_SPECIAL_CASE = re.compile(r"[_\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0590-\U0010ffff]").search
+
+
+def pre_tokens(text: str) -> list[str]:
+    return (_ANY if _SPECIAL_CASE(text) else _PLAIN)(text)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -104,7 +95,6 @@ class Bpe:
         self.lookahead = self._lookahead()
         self._pairs: dict[int, bool] = {}
         self._known = _Known(self._piece, self.CACHE)
-        self._find = re.compile(pattern()).findall
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def _lookahead(self) -> int:
@@ -240,7 +230,7 @@ class Bpe:
                 i = self.special[part]
                 out.append((str(i), self.bytes[i]))
             else:
-                out += map(known, self._find(part))
+                out += map(known, pre_tokens(part))
         return out
 
     def encode(self, text: str | None) -> list[int]:
