@@ -63,14 +63,15 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word (run of bytes other than 0x20, 0x09-0x0D).
+def word_bounds(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word: a run of bytes that `apart` does not mark
+    (by default: other than 0x20, 0x09-0x0D).
 
     A word never reaches over the border between two texts.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~apart[data]
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
     ends = solid.copy()
@@ -88,13 +89,18 @@ def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     A polynomial over random byte codes, read off prefix sums modulo 2**64, and
     finalised together with the length.
     """
+    return hash_ranges(data, lower, [(starts, ends)])[0]
+
+
+def hash_ranges(data: np.ndarray, lower: bool, ranges: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """``range_hash`` of several lists of ranges over one buffer."""
     n = len(data)
     codes = _CODE[_LOWER] if lower else _CODE
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(codes[data] * _powers(_BASE, n), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    back = _powers(_INVERSE, n + 1)
+    return [mix64((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for s, e in ranges]
 
 
 def _pieces(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
