@@ -80,7 +80,7 @@ class Blocks:
         out = self.table.select("block", "body", "marks")
         for k, each in enumerate(answers):
             dealt = each.repartition(self.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "blob")).alias(f"answers{k}"))
-            out = out.join(dealt, "block", "left")
+            out = out.join(dealt.hint("merge"), "block", "left")
         return out
 
     def ask(self, questions: Callable[[dict], Iterator[tuple[int, bytes]]], *answers: DataFrame) -> DataFrame:
