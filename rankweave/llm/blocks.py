@@ -44,25 +44,26 @@ def from_rows(blob: bytes) -> pa.RecordBatch:
 class Blocks:
     """The bucketed table of blocks and its numbers."""
 
-    def __init__(self, docs: DataFrame, describe: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], tuple[bytes, list[int], int]]) -> None:
+    def __init__(self, docs: DataFrame, describe: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], tuple[bytes, list[int], int]], block_bytes: int | None = None) -> None:
         """Writes the rows of `docs` (whose last column is text) as blocks.
 
         `describe` gets bytes, offsets and rows of a block, and returns what is kept as
         its ``body``, some longs kept as ``marks``, and its size in questions.
         """
         self.spark = docs.sparkSession
+        block_bytes = block_bytes or BLOCK_BYTES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offs = K.text_column(batch.column(batch.num_columns - 1))
-                for a, b in K.slices(data, offs, BLOCK_BYTES):
+                for a, b in K.slices(data, offs, block_bytes):
                     rows = batch.slice(a, b - a)
                     body, marks, size = describe(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], rows)
                     columns = [pa.array([_new_number()], pa.int64()), pa.array([body], pa.binary()), pa.array([marks], pa.list_(pa.int64())), pa.array([size], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "body", "marks", "size"])
 
         size = docs.agg(F.sum(F.octet_length(docs.columns[-1]))).first()[0] or 0
-        self.buckets = max(4, min(100_000, int(size) // (2 * BLOCK_BYTES)))
+        self.buckets = max(4, min(100_000, int(size) // (2 * block_bytes)))
         self.name = f"blocks_{uuid.uuid4().hex}"
         made = docs.mapInArrow(run, "block long, body binary, marks array<long>, size long")
         made.write.bucketBy(self.buckets, "block").option("path", new_path(self.spark, "blocks")).option("compression", "none").saveAsTable(self.name)
