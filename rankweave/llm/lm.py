@@ -42,7 +42,7 @@ BLOCK_BYTES, WORD_SHARD, TRIGRAM_SHARD = 6 << 20, 1_500_000, 1_500_000
 #: Occurrences beyond which a root is split, and the most parts.
 HOT, PARTS = 2_000_000, 4096
 #: Weights of the shorter contexts: of unigrams in bigrams, of bigrams in trigrams.
-KAPPA = (8.0, 1.5)
+KAPPA = (1000.0, 6.0)
 
 _END = K.mix64(np.array([0x454E44], np.uint64))[0]
 _SERIAL = np.uint64(36)
