@@ -1,33 +1,69 @@
-"""The corpus pipeline: documents through five operators, each stage written as Parquet."""
+"""The corpus pipeline: documents through five operators, each stage written as Parquet.
+
+Each stage works on all rows that the one before it kept.  The stages but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rankweave.llm import bpe, mixing, near_dedup, queries, substring_dedup, toxicity
+from rankweave.llm.storage import drop, handed_out, new_path
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labels table, finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classify(docs, labels, keep=tuple(docs.columns)).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more, the one with the least doc_id stays."""
+    return near_dedup.deduplicate(docs, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that a smaller doc_id has go; n_chars follows the new text."""
+    keep = tuple(c for c in docs.columns if c != "text")
+    out = substring_dedup.remove_repeats(docs, keep=("doc_id", *[c for c in keep if c != "doc_id"]), with_text=True)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
 
-from rankweave.llm import bpe, queries
-from rankweave.llm.storage import new_path
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of each text that the mix holds."""
-    return bpe.encode_columns(docs, queries.vocabulary_path())
+    """doc_id, source, token_ids and digests of each text that the mix holds."""
+    return bpe.encode_columns(docs, queries.vocabulary_path(), keep=("doc_id", "source"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("encode", encode),
+    ("toxicity", reject_toxic),
+    ("near-dedup", near_duplicates),
+    ("substring-dedup", repeated_passages),
+    ("mixing", mix_sources),
+    ("encoding", encode),
 ]
 
-#: No SQL can express the trained classifier, the encoder or the similarity search.
+#: SQL can express neither the trained classifier nor the encoder.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents table; each one's rows are written and read again."""
+    """All stages in turn over the documents table; each one's rows are written and read
+    again, and what it left in the shared folder goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = handed_out()
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop(spark, [p for p in handed_out() if p not in before and p != path])
         docs = spark.read.parquet(path)
     return docs

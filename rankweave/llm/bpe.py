@@ -27,6 +27,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -292,8 +293,9 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def _digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
-    """Token count and digests of the ids and of the decoded text, in bounded memory."""
+def _digest(bpe: Bpe, text: str, ids_out: list[np.ndarray] | None = None) -> tuple[int, str, str]:
+    """Token count and digests of the ids and of the decoded text, a stretch of the text
+    at a time; the ids themselves only go to `ids_out` if that is given."""
     n, ids, decoded, machine, first = 0, hashlib.sha256(), hashlib.sha256(), Utf8(), True
     for part in _spans(bpe, text):
         texts, raw = zip(*part)
@@ -301,6 +303,8 @@ def _digest(bpe: Bpe, text: str) -> tuple[int, str, str]:
         n += joined.count(",") + 1
         ids.update((joined if first else "," + joined).encode())
         decoded.update(machine.feed(b"".join(raw)).encode())
+        if ids_out is not None:
+            ids_out.append(np.array(joined.split(","), dtype=np.int32))
         first = False
     decoded.update(machine.end().encode())
     return n, ids.hexdigest(), decoded.hexdigest()
@@ -345,9 +349,9 @@ def encode_columns(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
             rows, tokens = [], []
             for value in batch.column(len(keep)):
                 text = value.as_py() or ""
-                rows.append(_digest(bpe, text))
-                if with_ids:
-                    tokens.append(bpe.encode(text))
+                parts = [np.zeros(0, np.int32)]
+                rows.append(_digest(bpe, text, parts if with_ids else None))
+                tokens.append(np.concatenate(parts) if with_ids else None)
             data = [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
             columns = [batch.column(k) for k in range(len(keep))] + [pa.array(x, t) for x, (_, t) in zip([*data, *([tokens] if with_ids else [])], added, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *(n for n, _ in added)])

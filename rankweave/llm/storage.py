@@ -24,8 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+#: Folders handed out that nobody has dropped yet.
+_HANDED_OUT: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def handed_out() -> list[str]:
+    return list(_HANDED_OUT)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate folders; only once every result that reads them is written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+        if path in _HANDED_OUT:
+            _HANDED_OUT.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
