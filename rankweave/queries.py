@@ -183,7 +183,7 @@ def struct_sort_orders(spark, sf_dir):
     return R.global_rank(rows, SortSpec.by("s.v")).select("s.v", "rank")
 
 
-@query(f"with r as (select o_orderkey, {_RANKED} as r, count(*) over () as n from orders), s as (select o_orderkey, r as rank, r - 100 as r, 5000 as n from r where r between 100 and 5099) select o_orderkey, rank, ({_EVEN})::int as pid from s")
+@query(f"with r as (select o_orderkey, {_RANKED} as r, count(*) over () as n from orders), s as (select o_orderkey, r as rank, r - 100 as r, count(*) over () as n from r where r between 100 and 5099) select o_orderkey, rank, ({_EVEN})::int as pid from s")
 def sorter_range_orders(spark, sf_dir):
     sorter = S.Sorter(PRICE, P8)
     return sorter.sort_range(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 100, 5000).select("o_orderkey", "rank", "pid")
