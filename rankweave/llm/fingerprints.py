@@ -22,12 +22,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankweave.llm.mixing import WORDS, _search
+from rankweave.llm.storage import written
 
 GRAM, WINDOW = 5, 8
 _PLACE = 26
 _LAST = (1 << _PLACE) - 1
 #: Rows that one cell of neighbouring documents is meant to hold, and quantiles cells are cut at.
 CELL_ROWS, CUTS = 4000, 256
+#: Cells (of 24 bytes each) up to which their list is sent to all tasks; beyond, it is joined by shuffle.
+BROADCAST_CELLS = 200_000
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -113,6 +116,9 @@ def with_next(docs: DataFrame, value: Column) -> DataFrame:
     bottom = F.min("cell").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1)))
     # the cell above; the first of the topmost cell follows the last of the bottommost
     firsts = firsts.withColumn("above", F.when(F.col("cell") == top, bottom).otherwise(F.lead("cell").over(ahead)))
+    firsts = written(firsts, "cells")
+    if firsts.count() <= BROADCAST_CELLS:
+        firsts = F.broadcast(firsts)
     rows = docs.select("doc_id", cell.alias("cell"), value.alias("v")).join(firsts, "cell")
     own = F.struct(F.col("cell").alias("cell"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("above").alias("cell"), F.lit(True).alias("guest"))
