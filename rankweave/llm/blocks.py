@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rankweave.llm import kernels as K
@@ -25,6 +25,14 @@ from rankweave.llm.storage import new_path
 BLOCK_BYTES = 3 << 20
 
 
+#: Stands for a null doc_id: it comes after all others.
+NO_ID = (1 << 63) - 1
+
+
+def doc_ids(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column.cast(pa.int64()), NO_ID).to_numpy(zero_copy_only=False)
+
+
 def _new_number() -> int:
     return uuid.uuid4().int >> 66  # 62 bits
 
@@ -110,14 +118,6 @@ def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[byt
     return questions.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "block long, shard long, blob binary")
 
 
-def compress(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
-
-
-def decompress(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
-
-
 def cut(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's part of sorted uint64 keys begins, if shards are equal ranges."""
     edges = (np.arange(1, shards) * (2**64 / shards)).astype(np.uint64)

@@ -70,11 +70,10 @@ def _offset(seed: int) -> Column:
 def assign(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 7, carry: bool = False) -> DataFrame:
     """Copies of each document: doc_id, source, size, source_size, target, copies, taken.
 
-    With `carry` the other columns of `docs` (which must not be named as the added
-    ones) are kept too.
+    With `carry` the whole rows of `docs` are kept too, in a column ``row``.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = docs.select("*", word_count(F.col("text")).alias("size")) if carry else None
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row")) if carry else None
     sized = written(sized, "sizes")
     rows = sized if rows is None else rows
     n = sized.count()
@@ -112,7 +111,7 @@ def _search(marks: list[int]) -> Column:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: each row of `docs` as often as it is taken, columns unchanged."""
     out = assign(docs, carry=True, **options).filter(F.col("copies") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def oracle(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 7) -> str:

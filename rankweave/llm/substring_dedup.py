@@ -20,7 +20,8 @@ bits of hash of the whole passage.  Blocks send each distinct passage once, so a
 passage that a third of all documents hold is one suffix a block.
 
 Defined results: null has no words; documents shorter than ``DEPTH`` keep all;
-equal doc_ids don't remove each other's words; words are compared unchanged.
+equal doc_ids don't remove each other's words, and no doc_id counts as the greatest;
+words are compared unchanged; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm import kernels as K
-from rankweave.llm.blocks import Blocks, answered, cut, from_rows, to_rows
+from rankweave.llm.blocks import Blocks, answered, cut, doc_ids, from_rows, to_rows
 from rankweave.llm.storage import written
 
 DEPTH = 13
@@ -47,7 +48,7 @@ _SIGN = np.uint64(1 << 63)
 class Passages:
     """The passages of one block: their words' symbols, fingerprints and documents."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, doc_ids: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray) -> None:
         hashes, _, _, self.counts = K.words(data, offs, lower=False)
         self.symbols = (hashes >> np.uint64(40)).astype(np.uint8)
         ends = np.cumsum(self.counts)
@@ -56,7 +57,7 @@ class Passages:
         n = np.maximum(self.counts - DEPTH + 1, 0)
         at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         self.at = at
-        doc = (doc_ids.astype(np.int64).view(np.uint64) ^ _SIGN)[np.repeat(np.arange(len(n)), n)]
+        doc = (ids.astype(np.int64).view(np.uint64) ^ _SIGN)[np.repeat(np.arange(len(n)), n)]
         prints = whole[at]
         order = np.argsort(prints, kind="stable")
         sorted_prints = prints[order]
@@ -84,7 +85,7 @@ class Passages:
 
 
 def _describe(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> tuple[bytes, list[int], int]:
-    p = Passages(data, offs, rows.column(0).to_numpy())
+    p = Passages(data, offs, doc_ids(rows.column(0)))
     head, _ = p.strings(np.arange(len(p.prints)))
     head.sort()
     step = max(1, len(head) // 64)
@@ -94,7 +95,7 @@ def _describe(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> tuple
 def _passages(row: dict) -> tuple[pa.RecordBatch, Passages, np.ndarray, np.ndarray]:
     rows = from_rows(row["body"])
     data, offs = K.text_column(rows.column(rows.num_columns - 1))
-    return rows, Passages(data, offs, rows.column(0).to_numpy()), data, offs
+    return rows, Passages(data, offs, doc_ids(rows.column(0))), data, offs
 
 
 def common_prefixes(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
