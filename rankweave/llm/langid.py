@@ -110,12 +110,12 @@ class Model:
     def freeze(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
         """tables: for each language the four-byte strings and how often each occurred."""
         keys4 = np.unique(np.concatenate([k for k, _ in tables])) if tables else np.zeros(0, np.uint32)
-        keys3 = np.unique(np.concatenate([keys4 & 0xFFFFFF, keys4 >> 8]))
+        keys3 = np.unique(np.concatenate([keys4 & 0xFFFFFF, keys4 >> 8, np.zeros(1, np.uint32)]))
         cost4, cost3, escape3, cost2, escape2 = [], [], [], [], []
         for keys, n in tables:
             n = n.astype(np.float64)
             c1 = np.bincount(keys & 0xFF, n, 256)
-            first = np.where(c1 > 0, -np.log2(np.maximum(c1, 1e-300) / (c1.sum() + (c1 > 0).sum())), -np.log2((c1 > 0).sum() / (c1.sum() + (c1 > 0).sum())) + 8)
+            first, _, _ = _costs(c1, np.zeros(256, np.int64), np.arange(256), lambda s: np.full(len(s), 8.0))
             c2 = np.bincount(keys & 0xFFFF, n, 1 << 16)
             pairs = np.arange(1 << 16)
             k2, names, esc = _costs(c2, pairs >> 8, pairs & 0xFF, lambda s, first=first: first[s])
@@ -144,7 +144,7 @@ class Model:
         """Code length of each text under each language: languages x texts."""
         out = np.zeros((len(self.langs), len(offs) - 1))
         full = np.flatnonzero(np.diff(offs) > 0)
-        if not len(full):
+        if not len(full) or not self.langs:
             return out
         for a in range(0, len(full), 1 << 14):
             rows = full[a : a + (1 << 14)]

@@ -189,6 +189,13 @@ def _scan_end(data: bytes, at: int) -> int:
 
 def decode(data: bytes) -> Decoded:
     """Dimensions, DC-only luminance thumbnail and luminance coefficients of a baseline JPEG."""
+    try:
+        return _decode(data)
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        raise e if isinstance(e, JpegError) else JpegError(f"broken segment: {e}") from e
+
+
+def _decode(data: bytes) -> Decoded:
     if data[:2] != b"\xff\xd8":
         raise JpegError("no SOI marker")
     at, quant, huff, frame, restart, comment = 2, {}, {}, None, 0, b""
