@@ -17,7 +17,8 @@ from rankweave.llm.storage import drop, handed_out, new_path
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labels table, finds toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.classify(docs, labels, keep=tuple(docs.columns)).filter(~F.col("toxic")).select(*docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return toxicity.classify(docs, labels, rows=rows, keep=("row",)).filter(~F.col("toxic")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a smaller doc_id has go; n_chars follows the new text."""
-    keep = tuple(c for c in docs.columns if c != "text")
-    out = substring_dedup.remove_repeats(docs, keep=("doc_id", *[c for c in keep if c != "doc_id"]), with_text=True)
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    out = substring_dedup.remove_repeats(rows, keep=("doc_id", "row"), with_text=True).select("row.*", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rankweave.llm import kernels as K
+from rankweave.llm.blocks import cut
+from rankweave.llm.storage import written
 
 #: Bound of the labelled sample the chain is fitted on; features kept for a category.
 SAMPLE_ROWS, CHOSEN = 20_000, 1024
@@ -33,6 +35,7 @@ FOLDS = 5
 PREFIXES = (4, 5, 6)
 #: Rows with the category that must have a feature for it to be chosen.
 SUPPORT = 3
+SHARDS = 16
 
 _APART = np.ones(256, dtype=bool)
 _APART[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -156,12 +159,15 @@ def _choose(pos: np.ndarray, seen: np.ndarray, n_pos: int, n: int) -> np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE_ROWS) -> Chain:
-    """`labels`: doc_id and one 0/1 column for each name, in the order of the chain."""
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", *[F.col(x).cast("double") for x in names]), "doc_id")
-    n = labels.count()
+    """`labels`: doc_id and one 0/1 column for each name, in the order of the chain.
+
+    Of repeated labels of a document the greatest counts, and repeated documents count once.
+    """
+    told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(x).cast("double")).alias(x) for x in names])
     drawn = F.xxhash64(F.col("doc_id"), F.lit("toxicity")) / F.lit(2.0**64) + 0.5
-    sample = known.filter(drawn <= min(1.0, rows / max(n, 1)))
-    sample = sample.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), *names).repartition(8, "doc_id")
+    told = told.filter(drawn <= min(1.0, rows / max(told.count(), 1)))  # about `rows` rows, so all tasks may get them
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(told), "doc_id").dropDuplicates(["doc_id"])
+    sample = written(sample.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), *names), "labelled").repartition(8, "doc_id")
     width = len(names)
 
     def label_matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -183,10 +189,22 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE
                 n[:, 2 * k + 1] = np.bincount(where * FOLDS + fold[row], np.nan_to_num(y[k][row]), len(names_) * FOLDS).reshape(-1, FOLDS)
             held = (names_, n) if held is None else _merge([held, (names_, n)])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([K.pack_all(K.deltas(held[0]), held[1].reshape(-1))], pa.binary())], ["blob"])
-
-    parts = [K.unpack_all(r.blob) for r in sample.mapInArrow(count, "blob binary").collect()]
-    names_, n_ = _merge([(np.cumsum(a, dtype=np.uint64), b.astype(np.int32).reshape(-1, 2 * width, FOLDS)) for a, b in parts] or [(np.zeros(0, np.uint64), np.zeros((0, 2 * width, FOLDS), np.int32))])
+            ends = cut(held[0], SHARDS)
+            blobs = [K.pack_all(K.deltas(held[0][a:b]), held[1][a:b].reshape(-1)) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        a, b = K.unpack_all(blob)
+        return np.cumsum(a, dtype=np.uint64), b.astype(np.int32).reshape(-1, 2 * width, FOLDS)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        """Sums of one shard of features; those too rare to be chosen go."""
+        names_, n = _merge([unpacked(b) for b in group.column("blob").to_pylist()])
+        often = (n[:, 1::2].sum(2) >= SUPPORT).any(1)
+        return pa.table({"blob": pa.array([K.pack_all(K.deltas(names_[often]), n[often].reshape(-1))], pa.binary())})
+
+    sums = sample.mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInArrow(add_up, "blob binary")
+    names_, n_ = _merge([unpacked(r.blob) for r in sums.collect()] or [(np.zeros(0, np.uint64), np.zeros((0, 2 * width, FOLDS), np.int32))])
     told = sample.select("doc_id", "fold", *names).collect()
     y = np.array([[np.nan if r[x] is None else r[x] for x in names] for r in told]).reshape(len(told), width)
     fold = np.array([r.fold for r in told], np.int64)
@@ -267,8 +285,9 @@ def category_labels(labels: DataFrame) -> DataFrame:
 CATEGORIES = ["low_quality", "toxic"]
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Fit the chain low_quality -> toxic, and mark documents whose toxic probability
-    reaches `threshold`: columns in `keep`, p_low_quality, p_toxic, toxic."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",), rows: DataFrame | None = None) -> DataFrame:
+    """Fit the chain low_quality -> toxic on `docs` with `labels`, and mark the documents
+    whose toxic probability reaches `threshold`: columns in `keep` of `rows` (by default
+    `docs`), p_low_quality, p_toxic, toxic."""
     chain = fit(docs, category_labels(labels), CATEGORIES)
-    return score(docs, chain, keep).withColumn("toxic", F.col("p_toxic") >= threshold)
+    return score(docs if rows is None else rows, chain, keep).withColumn("toxic", F.col("p_toxic") >= threshold)
