@@ -32,7 +32,7 @@ def cut_pid(spec: SortSpec, cuts: Sequence[Cut]) -> Column:
     """Partition of a row between cuts: how many cuts it is not before."""
     at = [c.at for c in cuts]
     real = [a for a in at if a is not None]  # cuts at the end come last and hold no rows back
-    return search(len(real), lambda k: ~spec.before(real[k])).cast("int")
+    return spec.passed(real).cast("int")
 
 
 def bound_pid(position: Column, bounds: Sequence[int]) -> Column:

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rankweave.functions import search
 from rankweave.operators.scan import AT, PID, _carry, exclusive, in_order, partition_counts
 from rankweave.spec import SortSpec
 
@@ -106,14 +105,14 @@ class Cut:
     at: tuple | None
 
 
-def multi_select(df: DataFrame, spec: SortSpec, targets: Sequence[int], slack: int = 0, samples: int = 0, seed: int = 1, rounds: int = 40) -> list[Cut]:
+def multi_select(df: DataFrame, spec: SortSpec, targets: Sequence[int], slack: int = 0, samples: int = 0, seed: int = 1, rounds: int = 40, fetch: int = 20_000) -> list[Cut]:
     """Rows at about the target ranks, by repeated sampling and exact counting.
 
     Each round samples rows inside the windows still open - about `samples` for each,
     or with 0 one random row each - counts exactly how many rows come before every
     sample, and shrinks the windows.  A window is settled once a row within `slack`
-    of its target is known.  After `rounds` rounds, or when few rows are left open,
-    the open rows themselves are fetched.
+    of its target is known.  When at most `fetch` rows are left in open windows, those
+    rows themselves settle the rest.
     """
     names = [f"_k{i}" for i in range(len(spec.total))]
     rows = df.select(*spec.values()).persist()
@@ -129,6 +128,14 @@ def multi_select(df: DataFrame, spec: SortSpec, targets: Sequence[int], slack: i
         spans = sorted({(w.left, w.right) for w in open_}, key=lambda s: s[0][0])
         inside = _inside(flat, spans)
         left = sum(r[0] - l[0] for l, r in spans)
+        if left <= fetch:
+            rest = [tuple(r) for r in rows.filter(inside).orderBy(*flat.orderings()).collect()]
+            for (a, at), (b, end) in spans:
+                for w in open_:
+                    if (w.left, w.right) == ((a, at), (b, end)):
+                        w.left = w.right = (w.target, rest[w.target - a])
+                rest = rest[b - a :]
+            break
         want = max(1, samples) * len(spans)
         share = min(1.0, max(5.0 * want, 32) / left)
         drawn = rows.filter(inside)
@@ -171,7 +178,7 @@ def _inside(flat: SortSpec, spans: Sequence[tuple]) -> object:
 
 def _ranks(rows: DataFrame, flat: SortSpec, cuts: Sequence[tuple]) -> list[int]:
     """Exact number of rows before each of the sorted cuts: a histogram, summed up."""
-    bucket = search(len(cuts), lambda k: ~flat.before(cuts[k]))
+    bucket = flat.passed(cuts)
     counts = {r.b: r.n for r in rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
     out, total = [], 0
     for k in range(len(cuts)):
@@ -180,11 +187,11 @@ def _ranks(rows: DataFrame, flat: SortSpec, cuts: Sequence[tuple]) -> list[int]:
     return out
 
 
-def boundaries(df: DataFrame, spec: SortSpec, groups: int, eps: float = 0.1, samples: int = 5, seed: int = 1) -> list[Cut]:
+def boundaries(df: DataFrame, spec: SortSpec, groups: int, eps: float = 0.1, samples: int = 5, seed: int = 1, fetch: int = 20_000) -> list[Cut]:
     """Cuts between `groups` even groups; each within eps / 2 of a group of its ideal rank.
 
     samples=5: histogram sort with sampling; samples=1: one pivot for each open range.
     """
     n = df.count()
     slack = math.floor(eps * n / groups / 2)
-    return multi_select(df, spec, [k * n // groups for k in range(1, groups)], slack, samples, seed)
+    return multi_select(df, spec, [k * n // groups for k in range(1, groups)], slack, samples, seed, fetch=fetch)

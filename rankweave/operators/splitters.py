@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankweave.functions import search
 from rankweave.operators.rank import global_rank
 from rankweave.operators.scan import grouped_scan
 from rankweave.spec import SortSpec
@@ -53,10 +52,10 @@ def bucket(spec: SortSpec, splitters: Sequence[tuple], equal_buckets: bool = Tru
     splitter.  Without, s + 1: a key equal to a splitter lies above it.
     """
     keys = SortSpec(spec.keys)
-    above = search(len(splitters), lambda k: ~keys.before(splitters[k]))
+    above = keys.passed(splitters)
     if not equal_buckets:
         return above.cast("int")
-    below = search(len(splitters), lambda k: ~keys.before(splitters[k], or_same=True))
+    below = keys.passed(splitters, or_same=True)
     return (above + below).cast("int")
 
 

@@ -113,9 +113,10 @@ def test_struct_string_and_timestamp_keys(spark):
 
 
 @pytest.mark.parametrize("samples", [1, 5])
-def test_exact_cuts_with_ties(spark, samples):
+@pytest.mark.parametrize("fetch", [0, 12, 1000])
+def test_exact_cuts_with_ties(spark, samples, fetch):
     keys = [1] * 40 + [2] * 3 + [5] * 57
-    cuts = R.boundaries(frame(spark, keys), SPEC, 5, eps=0.0, samples=samples)
+    cuts = R.boundaries(frame(spark, keys), SPEC, 5, eps=0.0, samples=samples, fetch=fetch)
     assert [c.rank for c in cuts] == [20, 40, 60, 80]
     assert [c.at for c in cuts] == [(keys[r], r) for r in (20, 40, 60, 80)]
 
