@@ -102,6 +102,7 @@ class Blocks:
                     asked = list(questions(row))
                     columns = [pa.array([s for s, _ in asked], pa.int64()), pa.array([row["block"]] * len(asked), pa.int64()), pa.array([b for _, b in asked], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "blob"])
+                    K.release()
 
         return self.with_answers(*answers).mapInArrow(run, "shard long, block long, blob binary")
 
@@ -113,6 +114,7 @@ def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[byt
         group = group.combine_chunks()
         shard = group.column("shard")[0].as_py()
         blobs = answer(shard, group.column("blob").to_pylist())
+        K.release()
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "blob": pa.array(blobs, pa.binary())})
 
     return questions.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "block long, shard long, blob binary")

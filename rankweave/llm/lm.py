@@ -4,12 +4,13 @@ The model is an interpolated trigram over all training documents, with nothing
 pruned.  Tokens are lower-cased words and one end for each document.
 
 1. Blocks of documents ask for the counts of their distinct words.  A shard of
-   the vocabulary adds up the training counts and numbers its words; the number
-   of a word begins with its count, so frequent words have small numbers.
+   the vocabulary adds up the training counts and numbers its words, frequent
+   ones first, so their numbers are small.
 2. Blocks ask for their distinct trigrams (t, u, w) with their training counts.
    Shards hold whole roots u.  A shard adds the counts up, builds the trie of its
    roots, writes it to a file that it maps into memory, and answers each trigram
-   with its quantised probability.  A root with more than ``HOT`` occurrences is
+   with its quantised probability (the unigram in it from counts rounded down to
+   1/64 of an octave, so that no context gives out more than one).  A root with more than ``HOT`` occurrences is
    split by a hash of the word t before it, and each part is a root of its own:
    its bigrams are then conditioned on that hash too, a finer context for words
    that have the counts for it.
@@ -33,19 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rankweave.llm import kernels as K
-from rankweave.llm.blocks import Blocks, answered, cut
+from rankweave.llm.blocks import NO_ID, Blocks, answered, cut, doc_ids
 from rankweave.llm.elias_fano import Trie, quantise, restore
 from rankweave.llm.storage import written
 
 #: Text of a block, distinct words of a vocabulary shard, trigrams of a trie shard.
-BLOCK_BYTES, WORD_SHARD, TRIGRAM_SHARD = 6 << 20, 1_500_000, 1_500_000
+BLOCK_BYTES, WORD_SHARD, TRIGRAM_SHARD = 4 << 20, 1_000_000, 400_000
 #: Occurrences beyond which a root is split, and the most parts.
 HOT, PARTS = 2_000_000, 4096
 #: Weights of the shorter contexts: of unigrams in bigrams, of bigrams in trigrams.
 KAPPA = (1000.0, 6.0)
 
 _END = K.mix64(np.array([0x454E44], np.uint64))[0]
-_SERIAL = np.uint64(36)
 _UNKNOWN = np.uint64((1 << 52) - 1)  # number of words that no training document has
 _START = np.uint64((1 << 52) - 2)
 
@@ -60,16 +60,16 @@ def _describe(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> tuple
     tokens[inner] = hashes
     names, place = np.unique(tokens, return_inverse=True)
     train = np.asarray(rows.column(1).to_numpy(zero_copy_only=False), bool)
-    body = K.pack_all(K.deltas(names), place, counts + 1, rows.column(0).to_numpy().astype(np.int64).view(np.uint64), train)
+    body = K.pack_all(K.deltas(names), place, counts + 1, doc_ids(rows.column(0)).astype(np.int64).view(np.uint64), train)
     return body, [int((counts + 1)[train].sum())], len(tokens)
 
 
 class _Tokens:
     def __init__(self, body: bytes) -> None:
-        names, place, self.counts, doc_ids, train = K.unpack_all(body)
+        names, place, self.counts, ids, train = K.unpack_all(body)
         self.names = np.cumsum(names, dtype=np.uint64)
         self.place, self.counts = place.astype(np.int64), self.counts.astype(np.int64)
-        self.doc_ids, self.train = doc_ids.view(np.int64), train.astype(bool)
+        self.doc_ids, self.train = ids.view(np.int64), train.astype(bool)
         self.ends = np.cumsum(self.counts)
         self.in_train = np.repeat(self.train, self.counts)
 
@@ -79,10 +79,9 @@ def _word_answers(shard: int, blobs: list[bytes], shards: int) -> list[bytes]:
     names = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
     every, where = np.unique(np.concatenate(names), return_inverse=True)
     count = np.bincount(where, np.concatenate([p[1] for p in parts]).astype(np.float64), len(every)).astype(np.uint64)
-    level = np.uint64(65535) - np.floor(1000 * np.log2(np.maximum(count, 1))).astype(np.uint64)
     serial = np.empty(len(every), np.uint64)
-    serial[np.lexsort((every, level))] = np.arange(len(every), dtype=np.uint64)
-    number = (level << _SERIAL) | (serial * np.uint64(shards) + np.uint64(shard))
+    serial[np.argsort(~count, kind="stable")] = np.arange(len(every), dtype=np.uint64)
+    number = serial * np.uint64(shards) + np.uint64(shard)
     number[count == 0] = _UNKNOWN
     known = np.array([(count > 0).sum()], np.uint64)
     ends = np.cumsum([len(n) for n in names])
@@ -93,10 +92,13 @@ def _word_answers(shard: int, blobs: list[bytes], shards: int) -> list[bytes]:
     return out
 
 
-def _count_of(number: np.ndarray) -> np.ndarray:
-    """The count that a word's number begins with, rounded down a little."""
-    level = (65535 - (number >> _SERIAL).astype(np.int64)).astype(np.float64)
-    return np.where(number == _UNKNOWN, 0.0, np.exp2(level / 1000))
+def level_of(count: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 64 steps an octave, rounded down; 0 for 0."""
+    return np.where(count > 0, 1 + np.floor(64 * np.log2(np.maximum(count, 1))), 0).astype(np.uint64)
+
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, np.exp2((level.astype(np.float64) - 1) / 64), 0.0)
 
 
 class _Trigrams:
@@ -126,8 +128,9 @@ class _Trigrams:
             pair, w = pairs[(every >> np.uint64(32)).astype(np.int64)], (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
             u, t = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.seen = np.bincount(self.which, tokens.in_train[self.asks], len(every)).astype(np.uint64)
-        parts = np.minimum(-(-_count_of(values) // HOT), PARTS).astype(np.uint64)
-        parts = np.maximum(parts, 1)
+        of_value = np.zeros(len(values), np.uint64)
+        of_value[rank[:-1]] = count
+        parts = np.clip(-(-of_value.astype(np.int64) // HOT), 1, PARTS).astype(np.uint64)
         part = np.zeros(len(u), np.uint64)
         hot = np.flatnonzero(parts[u] > 1)
         part[hot] = K.mix64(values[t[hot]]) % parts[u[hot]]
@@ -137,19 +140,21 @@ class _Trigrams:
         order = np.lexsort((w, t, root, shard)) if len(hot) else np.argsort(shard, kind="stable")
         self.order = order
         self.root, self.context, self.word, self.seen = root[order], values[t[order]], values[w[order]], self.seen[order]
+        self.level = level_of(of_value)[w[order]]
         self.edge = np.searchsorted(shard[order], np.arange(shards + 1))
 
 
 def _trie_answers(blobs: list[bytes], unigram_total: float) -> list[bytes]:
     parts = [K.unpack_all(b) for b in blobs]
     root = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    context, word, seen = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    context, word, level, seen = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
     roots, r = np.unique(root, return_inverse=True)
     words, both = np.unique(np.concatenate((context, word)), return_inverse=True)
     t, w = both[: len(root)], both[len(root) :]
-    unigram = (_count_of(words) + 1) / unigram_total
-    key = (r * len(words) + t) if len(roots) * len(words) < 1 << 62 else None
-    order = np.lexsort((w, key))
+    levels = np.zeros(len(words), np.uint64)
+    levels[w] = level
+    unigram = (count_of(levels) + 1) / unigram_total
+    order = np.lexsort((w, r * len(words) + t))
     order = order[seen[order] > 0]
     kr, kt, kw = r[order], t[order], w[order]
     if len(order):
@@ -208,7 +213,7 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         for s in range(trie_shards):
             part = slice(g.edge[s], g.edge[s + 1])
             if g.edge[s + 1] > g.edge[s]:
-                yield s, K.pack_all(K.deltas(g.root[part]), g.context[part], g.word[part], g.seen[part])
+                yield s, K.pack_all(K.deltas(g.root[part]), g.context[part], g.word[part], g.level[part], g.seen[part])
 
     costs = answered(blocks.ask(ask_trigrams, words), lambda _, blobs: _trie_answers(blobs, unigram_total), trie_shards)
 
@@ -216,6 +221,7 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         for batch in batches:
             for k in range(batch.num_rows):
                 yield _scored({name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)})
+                K.release()
 
     def _scored(row: dict) -> pa.RecordBatch:
         tokens, g = trigrams(row)
@@ -230,7 +236,7 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
         add = lambda x: np.add.reduceat(x, first)
         m = len(first)
         columns = [
-            pa.array(tokens.doc_ids), pa.array(~tokens.train), pa.array(tokens.counts), pa.array(add(known.astype(np.int64))),
+            pa.array(tokens.doc_ids, mask=tokens.doc_ids == NO_ID), pa.array(~tokens.train), pa.array(tokens.counts), pa.array(add(known.astype(np.int64))),
             pa.array(np.full(m, total, np.int64)), pa.array(add(base)), pa.array(add(cost)),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
