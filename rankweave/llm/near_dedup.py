@@ -13,13 +13,14 @@ with equal sets form one class, and only classes are compared.
   probability of at most ``MISS``.
 * Stars: each bucket links its members to one centre instead of pairwise.  Every
   candidate is confirmed on the full sets.  A star may miss a pair of its leaves
-  only if they lie in different components, so buckets that still hold several
-  components go through further rounds, until every pair of theirs in different
-  components has been confirmed or refused.
+  only if they lie in different components.  Buckets that still hold several
+  components are settled in blocks: the full sets of all members meet in tasks of
+  bounded size, which emit no pairs but the links that join components.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
-nothing; fewer than five words make one shingle of the whole sequence; equal
-rows are copies of each other; an empty table gives an empty table.
+nothing; fewer than five words make one shingle of the whole sequence; rows of one
+doc_id are one document; rows without doc_id are linked with nothing and kept; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from rankweave.llm.components import components
 from rankweave.llm.storage import written
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-7
-#: Candidate pairs of one round for each member of a bucket; beyond it a round takes few centres a bucket.
-ROUND_PAIRS, CENTRES = 8, 8
+#: Members of a block, and of a cluster that is cut into blocks as a whole.
+BLOCK, CLUSTER = 512, 20_000
 
 
 def band_count(percent: int) -> int:
@@ -155,7 +156,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
                 yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, sets), pa.binary()), pa.array(map(_five_bytes, sets), pa.binary())], ["class", "elements"])
 
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    # by merge at any size: the list of wanted documents has no bound that would let all tasks have it
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(run, "class binary, elements binary")
     return sets.join(wanted.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
 
@@ -196,62 +198,89 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     buckets = written(entries.join(shared, "key").select("key", "class", "doc_id", "centre"), "buckets")
     sets = written(_full_sets(docs, buckets.select("doc_id", "class").distinct()), "sets")
     pairs = buckets.filter(F.col("class") != F.col("centre")).select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
-    tested = [written(pairs, "pairs")]
-    links = written(_confirmed(tested[0], sets, percent), "links")
-    members = buckets.select("key", "class")
-    while True:
-        comps = written(components(links), "components")
-        named = members.join(comps.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("comp", "class").alias("comp"))
-        mixed = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("key")
-        members_now = written(named.join(mixed, "key"), "mixed")
-        more = written(_untested(members_now, tested), "pairs")
-        if more.isEmpty():
-            break
-        tested.append(more)
-        links = written(links.unionByName(_confirmed(more, sets, percent)), "links")
-        members = members_now.select("key", "class")
+    links = written(_confirmed(pairs, sets, percent), "links")
+    named = buckets.join(components(links).withColumnRenamed("node", "class"), "class", "left").select("key", "class", "centre", F.coalesce("comp", "class").alias("comp"))
+    named = written(named, "named")
+    mixed = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("key")
+    more = written(_within_clusters(named.join(mixed, "key"), sets, percent), "links")
+    comps = written(components(links.unionByName(more)), "components")
     of_class = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("comp", "class").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = of_class.join(least, "comp").select("class", "component_id")
     out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _untested(named: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    """Pairs of classes in one bucket but different components that no round has seen.
+def _within_clusters(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that buckets still mix (key, class, centre, comp).
 
-    Members outside a bucket's largest component are paired with all members of other
-    components.  If those pairs are too many for one round, each bucket takes
-    CENTRES such members only; the others wait for the next round, by when most
-    share a component.
+    Classes that such buckets connect form a cluster (beyond CLUSTER members: each
+    bucket by itself).  A cluster is cut into blocks of BLOCK members, and each two
+    blocks that hold more than one component meet in one task.
     """
-    counts = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.sum("n").alias("members"))
-    outside = named.join(largest, "key").filter(F.col("comp") != F.col("largest")).select("key", F.col("class").alias("b"), F.col("comp").alias("comp_b"), "members")
-    seen = tested[0]
-    for more in tested[1:]:
-        seen = seen.unionByName(more)
-    done = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def pairs(centres: DataFrame) -> DataFrame:
-        met = named.withColumnRenamed("class", "a").join(centres, "key").filter(F.col("comp") != F.col("comp_b"))
-        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return met.join(done, ["a", "b"], "left_anti")
-
-    sums = outside.agg(F.sum("members").alias("pairs")).first().pairs or 0
-    if sums <= ROUND_PAIRS * max(named.count(), 100_000):
-        return pairs(outside.select("key", "b", "comp_b"))
-    # a centre is spent in a bucket once it has met all of the other components there
-    spent = done.join(named.select("key", F.col("class").alias("a"), "comp"), "a").join(named.select("key", F.col("class").alias("b"), F.col("comp").alias("comp_b")), ["key", "b"]).filter(F.col("comp") != F.col("comp_b")).groupBy("key", "b").agg(F.count("*").alias("met"))
-    own = counts.select("key", F.col("comp").alias("comp_b"), F.col("n").alias("own"))
-    open_ = outside.join(own, ["key", "comp_b"]).join(spent, ["key", "b"], "left").filter(F.coalesce("met", F.lit(0)) < F.col("members") - F.col("own"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("b"))
-    return pairs(open_.withColumn("turn", turn).filter(F.col("turn") <= CENTRES).select("key", "b", "comp_b"))
+    clusters = components(named.select(F.col("class").alias("a"), F.col("centre").alias("b")))
+    grouped = named.join(clusters.withColumnsRenamed({"node": "class", "comp": "cluster"}), "class")
+    sizes = grouped.groupBy("cluster").agg(F.count_distinct("class").alias("size"))
+    own = F.when(F.col("size") <= CLUSTER, F.struct("cluster", F.lit(None).cast("long").alias("key"))).otherwise(F.struct("cluster", "key"))
+    members = grouped.join(sizes, "cluster").select(own.alias("group"), "class", "comp").distinct()
+    place = F.row_number().over(Window.partitionBy("group").orderBy("comp", "class")) - 1
+    members = written(members.withColumn("block", F.floor(place / BLOCK).cast("int")), "members")
+    blocks = members.groupBy("group", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    one, two = (blocks.select("group", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "ij")
+    meet = one.join(two, "group").filter("block_i <= block_j and not (low_i = high_i and low_i = low_j and low_j = high_j)")
+    meet = meet.select("group", "block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
+    dealt = members.join(meet, ["group", "block"]).join(sets, "class").select("group.cluster", "group.key", "block_i", "block_j", "class", "comp", "elements")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = _block_links(table.column("class").to_pylist(), table.column("comp").to_pylist(), [_from_five(e) for e in table.column("elements").to_pylist()], percent)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return dealt.groupBy("cluster", "key", "block_i", "block_j").applyInArrow(run, "a binary, b binary")
+
+
+def _block_links(names: list[bytes], comps: list[bytes], sets: list[np.ndarray], percent: int, columns: int = 4096) -> tuple[list[bytes], list[bytes]]:
+    """Links that join the components of some sets, enough of them to connect what is linked.
+
+    All intersections at once: products of 0/1 matrices over the elements that two
+    sets at least have, a few thousand columns at a time.
+    """
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    row, column = row[keep], (np.cumsum(often > 1) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        part = np.zeros((len(sets), min(columns, width - at)), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    union = n[:, None] + n[None, :] - both
+    near = np.argwhere(np.triu(100 * both >= percent * union, 1))
+    root = {c: c for c in comps}
+
+    def top(c: bytes) -> bytes:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out_a, out_b = [], []
+    for i, j in near:
+        x, y = top(comps[i]), top(comps[j])
+        if x != y:
+            root[x] = y
+            out_a.append(names[i])
+            out_b.append(names[j])
+    return out_a, out_b
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, the one with the least doc_id."""
-    kept = link(docs, percent).filter("kept").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = link(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.filter("doc_id is null"))
