@@ -8,9 +8,9 @@ the votes up for each host; the path with most votes wins.  Second pass: the
 text is taken from the elements at the host's winning path; a page that has no
 text there falls back on its own candidate.
 
-Only one winner for each host is joined back, so a host with a third of all
-pages costs no more than its pages; the skewed join is left to adaptive
-execution.
+Only one winner for each host is joined back.  Pages are dealt by host and one of
+``PARTS`` numbers, and each winner to all of them, so a host with a third of all
+pages is spread over that many tasks.
 
 Defined results: null html counts as empty; a page without text gives an empty
 string; a null or malformed url counts as one host of its own; broken markup is
@@ -53,6 +53,9 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _DIGITS = re.compile(r"[0-9]+")
 
+#: Parts that the pages of each host are dealt into.
+PARTS = 64
+
 
 @dataclass(slots=True)
 class Node:
@@ -221,6 +224,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
-    joined = given.join(winning_paths(pages), "host", "left").select("page_id", "url", "html", "winner")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
+    given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"), part.alias("part"))
+    winners = winning_paths(pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = given.join(winners, ["host", "part"], "left").select("page_id", "url", "html", "winner")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
