@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rankweave.queries import ORACLES, QUERIES
 
@@ -36,3 +37,13 @@ def test_entry_without_the_corpus_operators(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
     assert e.entry(spark).count() == 1500
+
+
+@pytest.mark.parametrize("n", [1500, 20_001])
+def test_verified_sort_takes_all_orders(spark, tmp_path, n):
+    """The largest load is that of all orders, also of those with large keys."""
+    orders = spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7919 % 1000).cast("double").alias("o_totalprice"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = QUERIES["verified_sort"](spark, str(tmp_path)).collect()
+    spark.catalog.clearCache()
+    assert [tuple(r) for r in got] == [(True, True, (n + 7) // 8)]
