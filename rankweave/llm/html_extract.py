@@ -1,14 +1,20 @@
 """Main text of web pages by consensus host paths.
 
 First pass: each page is parsed into its containers, boilerplate (by element,
-role and class words) is left out, and the deepest container that holds most of
-what text remains is the page's candidate.  Its generalised path - tags and
-classes from the root, with digits generalised - is the page's vote.  Spark adds
-the votes up for each host; the path with most votes wins.  Second pass: the
-text is taken from the elements at the host's winning path; a page that has no
-text there falls back on its own candidate.
-
-Only one winner for each host is joined back.  Pages are dealt by host and one of
+role and class words) is left out, and from the container of all text that remains
+one goes down as long as one child holds most of it; articles, mains and containers
+with text of their own are not entered.  The generalised path of where that ends -
+tags and classes from the root, with digits generalised - is the page's vote; what
+was passed by is told too, with a digest of its text.  Spark adds up for each host:
+the path with most votes wins, and a path beside it is a box of the host if the same
+text stands there on most of the pages that have it.  Second pass: boxes of the host
+go, and all other text stays.  It is taken from the elements at the winning path if
+they hold all of the page's text, and else from the lowest container that does.
+
+On a host whose pages are mostly copies of one page, a container beside the main one
+counts as a box.
+
+Only the winner and the boxes of each host are joined back.  Pages are dealt by host and one of
 ``PARTS`` numbers, and each winner to all of them, so a host with a third of all
 pages is spread over that many tasks.
 
@@ -20,8 +26,9 @@ read to the end as far as it goes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -32,6 +39,7 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address center hgroup figcaption caption legend summary th tr thead tbody tfoot option".split())
 _SILENT = frozenset("head title nav footer aside form button select textarea noscript template iframe object svg math canvas audio video dialog menu fieldset".split())
+_MAIN = frozenset("article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _WORDS = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted "
@@ -154,6 +162,14 @@ def settle(page: Page) -> None:
     for k in range(1, len(nodes)):
         node = nodes[k]
         node.quiet |= nodes[node.parent].quiet or (node.odd and not node.holds and node.tag not in ("html", "body", "article", "main"))
+    weigh(page)
+
+
+def weigh(page: Page) -> None:
+    """Add up the text of the containers that are not boilerplate."""
+    nodes = page.nodes
+    for node in nodes:
+        node.size = 0
     for k, text, link in page.blocks:
         if not nodes[k].quiet and not link:
             nodes[k].size += len(text)
@@ -161,34 +177,84 @@ def settle(page: Page) -> None:
         nodes[nodes[k].parent].size += nodes[k].size
 
 
-def candidate(page: Page, share: float = 0.6) -> str | None:
-    """Path of the deepest container with at least `share` of the page's text."""
-    nodes = page.nodes
+def lowest(page: Page) -> int:
+    """The lowest container of all text that counts; an article or main is not entered."""
+    nodes, best = page.nodes, 0
+    for k in range(1, len(nodes)):
+        if nodes[best].tag in _MAIN:
+            break
+        if nodes[k].parent == best and nodes[k].size == nodes[0].size:
+            best = k
+    return best
+
+
+def vote(page: Page, share: float = 0.6) -> tuple[str, list[tuple[str, int]]] | None:
+    """Path of the container with most text, and path and digest of each one passed by."""
+    nodes, beside = page.nodes, []
     if not nodes[0].size:
         return None
-    best = 0
+    children: dict[int, list[int]] = {}
     for k in range(1, len(nodes)):
-        if nodes[k].size >= share * nodes[0].size and nodes[k].parent == best:
-            best = k
-    return nodes[best].path
+        if nodes[k].size:
+            children.setdefault(nodes[k].parent, []).append(k)
+    best = lowest(page)
+    while nodes[best].tag not in _MAIN and (below := children.get(best)):
+        top = max(below, key=lambda k: nodes[k].size)
+        others = [k for k in below if k != top]
+        if nodes[top].size < share * nodes[0].size or sum(nodes[k].size for k in below) < nodes[best].size:
+            break
+        if any(nodes[k].holds or nodes[k].tag in _MAIN for k in others):
+            break
+        beside += others
+        best = top
+    return nodes[best].path, [(nodes[k].path, _digest(page, k)) for k in beside]
+
+
+def _digest(page: Page, top: int) -> int:
+    inside = _below(page, lambda k: k == top)
+    text = " ".join(text for k, text, link in page.blocks if inside[k] and not page.nodes[k].quiet and not link)
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _below(page: Page, hit: Callable[[int], bool]) -> list[bool]:
+    """Whether each container is one of those that are hit, or below it."""
+    inside = [False] * len(page.nodes)
+    for k, node in enumerate(page.nodes):
+        inside[k] = hit(k) or (k > 0 and inside[node.parent])
+    return inside
+
+
+def leave_out(page: Page, boxes: Iterable[str]) -> None:
+    """Leave out the boxes of the host, unless they are all that the page has."""
+    nodes, paths = page.nodes, frozenset(boxes)
+    inside = _below(page, lambda k: nodes[k].path in paths and not nodes[k].holds and nodes[k].tag not in _MAIN)
+    if any(not (inside[k] or nodes[k].quiet or link) for k, _, link in page.blocks):
+        for k, node in enumerate(nodes):
+            node.quiet |= inside[k]
+        weigh(page)
 
 
 def text_at(page: Page, path: str) -> str:
     """Text of the blocks below the elements at `path`, without boilerplate."""
     nodes = page.nodes
-    inside = [False] * len(nodes)
-    for k, node in enumerate(nodes):
-        inside[k] = node.path == path or (k > 0 and inside[node.parent])
+    inside = _below(page, lambda k: nodes[k].path == path)
     return " ".join(text for k, text, _ in page.blocks if inside[k] and not nodes[k].quiet)
 
 
-def extract(html: str, winner: str | None) -> str:
+def covers(page: Page, path: str) -> bool:
+    """Whether all text that counts is below the elements at `path`."""
+    inside = _below(page, lambda k: page.nodes[k].path == path)
+    return all(inside[k] or link or page.nodes[k].quiet for k, _, link in page.blocks)
+
+
+def extract(html: str, winner: str | None, boxes: Iterable[str] = ()) -> str:
     page = parse(html)
     settle(page)
-    if winner is not None and (text := text_at(page, winner)):
-        return text
-    own = candidate(page)
-    return "" if own is None else text_at(page, own)
+    if boxes:
+        leave_out(page, boxes)
+    if not page.nodes[0].size:
+        return "" if winner is None else text_at(page, winner)
+    return text_at(page, winner if winner is not None and covers(page, winner) else page.nodes[lowest(page)].path)
 
 
 def host(url):
@@ -198,21 +264,29 @@ def host(url):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the generalised path with most votes of each host's pages."""
+    """host, winner: the generalised path with most votes of each host's pages; boxes: paths
+    beside it where most pages that have them have the same text."""
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, sizes = [], []
-            for value in batch.column(1):
+            rows = []
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = parse(value.as_py() or "")
                 settle(page)
-                paths.append(candidate(page))
-                sizes.append(page.nodes[0].size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["host", "path", "size"])
-
-    votes = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, size long")
-    counted = votes.filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("size").alias("size"))
-    return counted.groupBy("host").agg(F.max(F.struct("votes", "size", "path"))["path"].alias("winner"))
+                if (found := vote(page)) is not None:
+                    rows.append((name, found[0], None, page.nodes[0].size))
+                    rows += [(name, path, digest, 0) for path, digest in found[1]]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "digest", "size"])
+
+    told = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(votes, "host string, path string, digest long, size long")
+    counted = told.groupBy("host", "path", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    main = F.col("digest").isNull()
+    by_path = counted.groupBy("host", "path").agg(F.sum(F.when(main, F.col("n"))).alias("votes"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(F.when(~main, F.col("n"))).alias("same"))
+    winner = F.max(F.when(F.col("votes").isNotNull(), F.struct("votes", "size", "path")))["path"]
+    boxes = F.collect_list(F.when((F.col("same") > 1) & (2 * F.col("same") > F.col("n")), F.col("path")))
+    return by_path.groupBy("host").agg(winner.alias("winner"), boxes.alias("boxes"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -220,12 +294,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h.as_py() or "", w.as_py()) for h, w in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [extract(h.as_py() or "", w.as_py(), b.as_py() or ()) for h, w, b in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
     given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"), part.alias("part"))
     winners = winning_paths(pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    joined = given.join(winners, ["host", "part"], "left").select("page_id", "url", "html", "winner")
+    joined = given.join(winners, ["host", "part"], "left").select("page_id", "url", "html", "winner", "boxes")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

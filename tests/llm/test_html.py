@@ -38,3 +38,23 @@ def test_odd_rows(spark):
     out = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in H.extract_pages(df).collect())
     assert [t[2] for t in out] == ["", "", TEXT, TEXT, TEXT] and all(t[3] == len(t[2]) for t in out)
     assert H.extract_pages(df.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("box", ["article", "div class=post"])
+@pytest.mark.parametrize("first", ["<h1>Title</h1>", "<div class=lead><p>Title</p></div>"])
+def test_text_beside_the_largest_child_stays(spark, box, first):
+    page = lambda k: f"<body><{box}>{first.replace('Title', f'Title {k}')}<div class=entry><p>{f'long{k} ' * 30}</p></div></{box.split()[0]}></body>"
+    text = lambda k: f"Title {k} " + (f"long{k} " * 30).strip()
+    assert H.extract(page(1), None) == text(1)
+    rows = [(k, "http://h.example/p", page(k)) for k in range(4)]
+    out = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.text for r in out] == [text(k) for k in range(4)]
+
+
+def test_pages_of_a_second_template_are_whole(spark):
+    """The host's winning path holds no more than a teaser on them."""
+    one = lambda k: f"<body><div class=story><p>{f'story{k} ' * 30}</p></div></body>"
+    two = "<body><div class=story><p>teaser</p></div><div class=report><p>" + "report " * 50 + "</p></div></body>"
+    rows = [(k, "http://h.example/p", one(k)) for k in range(5)] + [(5, "http://h.example/q", two)]
+    out = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert out[5].text == "teaser " + ("report " * 50).strip() and out[0].text == ("story0 " * 30).strip()
