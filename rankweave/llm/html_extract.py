@@ -1,7 +1,10 @@
 """Main text of web pages by consensus host paths.
 
-First pass: each page is parsed into its containers, boilerplate (by element,
-role and class words) is left out, and from the container of all text that remains
+First pass: each page is parsed into its containers and boilerplate (by element,
+role and class words) is left out.  Class words are a hint: on a page without text in
+an article or main, a container with more than half of the text stays in spite of
+them, unless they are about comments; and where they mark all text and no container
+has that much, elements and roles alone decide.  From the container of all text that remains
 one goes down as long as one child holds most of it; articles, mains and containers
 with text of their own are not entered.  The generalised path of where that ends -
 tags and classes from the root, with digits generalised - is the page's vote; what
@@ -50,6 +53,10 @@ _WORDS = frozenset(
     "share sharing social follow subscribe subscription newsletter signup login search form copyright".split()
 )
 
+#: Words of what can outweigh the article, and words before the name of a part that a layout has or has not.
+_TALK = frozenset("comment comments commentlist disqus respond reply replies".split())
+_LAYOUT = frozenset("with without has have no not".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -71,14 +78,15 @@ class Node:
     path: str
     parent: int
     quiet: bool  # boilerplate for certain
-    odd: bool  # boilerplate by its class, unless it turns out to hold the article
+    talk: bool  # comments by its class, unless it turns out to hold the article
+    hint: bool  # boilerplate by its class, unless it holds the article or most of the text
     size: int = 0  # characters of text of its own that count
     holds: bool = False
 
 
 @dataclass(slots=True)
 class Page:
-    nodes: list[Node] = field(default_factory=lambda: [Node("", "", -1, False, False)])
+    nodes: list[Node] = field(default_factory=lambda: [Node("", "", -1, False, False, False)])
     blocks: list[tuple[int, str, bool]] = field(default_factory=list)  # container, text, in a link
 
 
@@ -146,23 +154,50 @@ def _open(nodes: list[Node], parent: int, name: str, raw: str) -> int:
             if key == "class":
                 classes = ".".join(sorted(set(_DIGITS.sub("#", value).split())))
             if key in ("class", "id"):
-                words += _SPLIT.split(value)
+                words += [w for token in value.split() for w in _named(token)]
             elif key == "role":
                 quiet |= value in _ROLES
     if name in ("article", "main"):
         _mark(nodes, parent)
     path = f"{up.path}/{name}.{classes}" if classes else f"{up.path}/{name}"
-    nodes.append(Node(name, path, parent, up.quiet or quiet, name == "header" or not _WORDS.isdisjoint(words)))
+    nodes.append(Node(name, path, parent, up.quiet or quiet, not _TALK.isdisjoint(words), not _WORDS.isdisjoint(words)))
     return len(nodes) - 1
 
 
+def _named(token: str) -> list[str]:
+    """Words of a class or id, as far as they name the container itself (not with-sidebar)."""
+    words = _SPLIT.split(token)
+    return words[: next((k for k, w in enumerate(words) if w in _LAYOUT), len(words))]
+
+
 def settle(page: Page) -> None:
     """Decide which containers are boilerplate, and add up the text of the others."""
     nodes = page.nodes
     for k in range(1, len(nodes)):
-        node = nodes[k]
-        node.quiet |= nodes[node.parent].quiet or (node.odd and not node.holds and node.tag not in ("html", "body", "article", "main"))
+        nodes[k].quiet |= nodes[nodes[k].parent].quiet or (nodes[k].tag == "header" and not nodes[k].holds)
     weigh(page)
+    sure = [node.quiet for node in nodes]
+    marked = _below(page, lambda k: (nodes[k].talk or nodes[k].hint) and _open_to_doubt(nodes[k]))
+    clear = any(not (marked[k] or sure[k] or link) for k, _, link in page.blocks)
+    clear |= any(node.hint and not node.talk and 2 * node.size > nodes[0].size for node in nodes)
+    if clear:
+        for k in range(1, len(nodes)):
+            nodes[k].quiet |= nodes[nodes[k].parent].quiet or (nodes[k].talk and _open_to_doubt(nodes[k]))
+        weigh(page)
+        named = any(node.tag in _MAIN and node.size for node in nodes)
+        half = nodes[0].size / 2
+        for k in range(1, len(nodes)):
+            node = nodes[k]
+            node.quiet |= nodes[node.parent].quiet or (node.hint and _open_to_doubt(node) and (named or node.size <= half))
+        weigh(page)
+    if not nodes[0].size:
+        for node, quiet in zip(nodes, sure, strict=True):
+            node.quiet = quiet
+        weigh(page)
+
+
+def _open_to_doubt(node: Node) -> bool:
+    return not node.holds and node.tag not in ("html", "body", "article", "main")
 
 
 def weigh(page: Page) -> None:

@@ -58,3 +58,19 @@ def test_pages_of_a_second_template_are_whole(spark):
     rows = [(k, "http://h.example/p", one(k)) for k in range(5)] + [(5, "http://h.example/q", two)]
     out = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert out[5].text == "teaser " + ("report " * 50).strip() and out[0].text == ("story0 " * 30).strip()
+
+
+@pytest.mark.parametrize("kind", ["content with-sidebar", "no-sidebar", "has-header", "content sidebar-left", "layout-with-left-rail", "post comments", "related"])
+@pytest.mark.parametrize("brand", ["", "<div><h1>Site</h1></div>"])
+def test_class_words_of_a_wrapper_do_not_empty_a_page(kind, brand):
+    """Comments are the exception: beside other text they go, however long."""
+    html = f'<body>{brand}<div class="{kind}"><h2>Head</h2><p>The article itself.</p><div class="ad">Buy</div></div><div class="share"><p>Like</p></div></body>'
+    text = H.extract(html, None)
+    if kind == "post comments":
+        assert text == "Site" if brand else "Head The article itself." in text
+    else:
+        assert text == ("Site " if brand else "") + "Head The article itself."
+
+
+def test_class_words_count_beside_an_article():
+    assert H.extract("<article><p>Short.</p></article><div class=sidebar><p>Much longer than the article is.</p></div>", None) == "Short."
