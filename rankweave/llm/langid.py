@@ -193,16 +193,28 @@ def held_out(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
-    """Grow the trees from a bounded sample of the rows of `docs` with text and lang."""
+    """Grow the trees from a bounded sample of the rows of `docs` with text and lang.
+
+    The bound is on what is expected of each language.  Besides, the labelled document
+    of least hash that has text is always taken, so no language is left out; with
+    documents beyond a language's share, the sample exceeds `size` by one of each.
+    """
+    drawn = (F.xxhash64(F.col("doc_id"), F.lit("langid")) / F.lit(2.0**64)) + 0.5
+    mark = F.struct(drawn.alias("drawn"), F.xxhash64("text").alias("of_text"))
     known = docs.select("doc_id", "lang", "text").filter("text is not null and lang is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"), F.min(F.when(F.octet_length("text") > 0, mark)).alias("least")).collect()
     sizes = sorted(sizes, key=lambda r: r.lang)
     if not sizes:
         return Model.freeze([], [])
     share = {r.lang: min(1.0, rows / len(sizes) / r.n, size / len(sizes) / max(r.b, 1)) for r in sizes}
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    drawn = (F.xxhash64(F.col("doc_id"), F.lit("langid")) / F.lit(2.0**64)) + 0.5
-    sample = known.filter(drawn <= limit[F.col("lang")]).select("lang", "text")
+    first = {r.lang: r.least.of_text for r in sizes if r.least is not None}
+    at = {r.lang: r.least.drawn for r in sizes if r.least is not None}
+    taken = drawn <= limit[F.col("lang")]
+    if first:
+        least_at, least_of = (F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) for given in (at, first))
+        taken |= F.coalesce((drawn == least_at[F.col("lang")]) & (F.xxhash64("text") == least_of[F.col("lang")]), F.lit(False))
+    sample = known.filter(taken).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -73,3 +73,12 @@ def test_held_out_accuracy_and_odd_rows(make):
     assert {r.lang_pred for r in langid.identify(make(["abc", None], lang=[None, None])).collect()} == {"und"}
     assert {r.lang_pred for r in langid.identify(make(["", "abc", "q"] * 3, lang=["x"] * 9)).collect()} == {"und", "x"}
     assert langid.identify(make([])).isEmpty()
+
+
+def test_no_language_is_left_out_of_the_sample(make):
+    """Documents far beyond a language's share of the bytes: one of each is still learned."""
+    texts = ["aeiou " * 400, "xyzkr " * 400, "", "bcdfg " * 400]
+    docs = make(texts * 2, lang=["vow", "con", "con", "mid"] * 2)
+    model = langid.fit(docs, size=1)
+    assert model.langs == ["con", "mid", "vow"]
+    assert [r.lang_pred for r in langid.predict(make(["aeiou aeiou", "xyzkr xyz", "bcd fg"]), model).orderBy("doc_id").collect()] == ["vow", "con", "mid"]
