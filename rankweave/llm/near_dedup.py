@@ -19,8 +19,9 @@ with equal sets form one class, and only classes are compared.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
 nothing; fewer than five words make one shingle of the whole sequence; rows of one
-doc_id are one document; rows without doc_id are linked with nothing and kept; an
-empty table gives an empty table.
+doc_id with unlinked texts are documents of their own, each kept or not by its own
+group; rows without doc_id are linked with nothing and kept; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -128,8 +129,10 @@ def _from_five(raw: bytes) -> np.ndarray:
     return wide.view(">u8").reshape(-1).astype(np.int64)
 
 
-def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, class (names the set; empty for an empty set), keys (of its bands)."""
+def signatures(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class (names the set; empty for an empty set), keys (of its bands);
+    and the column _digest of `docs` as digest, if asked for."""
+    names = ["doc_id", "n_shingles", "class", "keys", *["digest"] * digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(percent)
@@ -141,9 +144,10 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_name, sets), pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([*columns, *[c.slice(a, b - a) for c in batch.columns[2:]]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, keys array<long>")
+    given = docs.select(F.col("doc_id").cast("long"), "text", *[F.col("_digest")] * digest)
+    return given.mapInArrow(run, "doc_id long, n_shingles long, class binary, keys array<long>" + ", digest binary" * digest)
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,7 +193,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept, for every document."""
-    signed = written(signatures(docs, percent), "signatures")
+    return _linked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
+    """What link() returns, class, comp (a class that names the component), and digest if asked for."""
+    signed = written(signatures(docs, percent, digest), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"))
     once = full.join(classes, "class").filter("doc_id = first_id").groupBy("class", "doc_id").agg(F.first("keys").alias("keys"))
@@ -206,10 +215,10 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
     comps = written(components(links.unionByName(more)), "components")
     of_class = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("comp", "class").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(least, "comp").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    of_class = of_class.join(least, "comp").select("class", "comp", "component_id")
+    out = signed.drop("keys").join(of_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.withColumns({"component_id": component, "kept": F.coalesce(F.col("doc_id") == component, F.lit(True))})
 
 
 def _within_clusters(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,7 +289,16 @@ def _block_links(names: list[bytes], comps: list[bytes], sets: list[np.ndarray],
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least doc_id."""
-    kept = link(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, the one with the least doc_id.
+
+    Of a group's rows with that doc_id the one of least class, then digest of the text
+    stays, and of rows equal in these the first by its other columns as JSON.
+    """
+    named = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = _linked(named, percent, digest=True).filter("kept and doc_id is not null")
+    kept = rows.groupBy("doc_id", "comp").agg(F.min(F.struct("class", "digest"))["digest"].alias("_digest")).select("doc_id", "_digest")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("text").isNull().alias("a"), *[F.to_json(F.struct(*others)).alias("b")] * bool(others))
+    given = named.join(kept, ["doc_id", "_digest"], "left_semi").select("doc_id", "_digest", order.alias("order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = given.groupBy("doc_id", "_digest").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return once.unionByName(docs.filter("doc_id is null"))

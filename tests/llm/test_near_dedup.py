@@ -118,3 +118,14 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7}
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(make):
+    """A clean text stays beside a copy that has its doc_id; linked rows of one id are one."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
+    texts = [a, a, b, c, c + " end", c, None, ""]
+    ids = [3, 7, 7, 8, 8, 9, 7, 7]
+    first = sorted((r.doc_id, r.text or "") for r in N.deduplicate(make(texts, ids)).collect())
+    assert [r for r in first if r[0] != 8] == [(3, a), (7, ""), (7, b)] and len(first) == 4
+    again = sorted((r.doc_id, r.text or "") for r in N.deduplicate(make(texts[::-1], ids[::-1]).repartition(5)).collect())
+    assert first == again
