@@ -107,6 +107,10 @@ class Blocks:
         return self.with_answers(*answers).mapInArrow(run, "shard long, block long, blob binary")
 
 
+#: Reduce tasks of one exchange at most; beyond it a task takes several shards, one at a time.
+MOST_TASKS = 20_000
+
+
 def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[bytes]], shards: int) -> DataFrame:
     """block, shard, blob: the answers of each shard to its questions, one for each."""
 
@@ -117,10 +121,21 @@ def answered(questions: DataFrame, answer: Callable[[int, list[bytes]], list[byt
         K.release()
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "blob": pa.array(blobs, pa.binary())})
 
-    return questions.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "block long, shard long, blob binary")
+    return questions.repartition(min(shards, MOST_TASKS), "shard").groupBy("shard").applyInArrow(run, "block long, shard long, blob binary")
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of uint64 keys, if shards are equal ranges; ascending with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of each shard that occurs in an ascending list."""
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    ends = np.append(first, len(shard))[1:]
+    return list(zip(shard[first].tolist(), first.tolist(), ends.tolist(), strict=True))
 
 
 def cut(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of sorted uint64 keys begins, if shards are equal ranges."""
-    edges = (np.arange(1, shards) * (2**64 / shards)).astype(np.uint64)
-    return np.concatenate(([0], np.searchsorted(sorted_keys, edges), [len(sorted_keys)]))
+    """Where each of a fixed number of shards' part of sorted uint64 keys begins."""
+    return np.searchsorted(shard_of(sorted_keys, shards), np.arange(shards + 1))

@@ -89,12 +89,15 @@ class EliasFano:
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    """Probabilities as steps of 1/4096 of a decade, 16 decades at most."""
-    return np.minimum(np.rint(-log10 * 4096), 65535).astype(np.uint16)
+    """Probabilities as steps of 1/2048 of a decade; those below 10**-31 do not fit."""
+    steps = np.rint(-log10 * 2048)
+    if len(steps) and steps.max() > 65535:
+        raise OverflowError("a probability below 10**-31")
+    return steps.astype(np.uint16)
 
 
 def restore(code: np.ndarray) -> np.ndarray:
-    return code.astype(np.float64) / -4096
+    return code.astype(np.float64) / -2048
 
 
 class Trie:
@@ -117,48 +120,49 @@ class Trie:
         self.roots, self.words, self.longest, self.levels, self.codes = roots, words, longest, levels, codes
 
     @staticmethod
-    def build(root: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray, roots: int, words: int, unigram: np.ndarray, kappa: tuple[float, float]) -> Trie:
-        """From distinct trigrams sorted by (root, context, word) with their counts;
-        `unigram`: probability of each word.  Smoothing is interpolation with a
-        Dirichlet prior: (c(hw) + kappa * p(w | shorter h)) / (c(h) + kappa)."""
-        r, t, w = (x.astype(np.int64) for x in (root, context, word))
-        pairs, pair_of = np.unique(r * words + w, return_inverse=True)
-        pair_n = np.bincount(pair_of, count, len(pairs))
-        pair_root, pair_word = pairs // max(words, 1), pairs % max(words, 1)
-        root_n = np.bincount(pair_root, pair_n, roots)
-        p2 = (pair_n + kappa[0] * unigram[pair_word]) / (root_n[pair_root] + kappa[0])
+    def build(roots: int, words: int, pairs: np.ndarray, p2: np.ndarray, contexts: np.ndarray, back3: np.ndarray, ctx_of: np.ndarray, pair_of: np.ndarray, p3: np.ndarray) -> Trie:
+        """From the distinct pairs (root * words + word) and contexts (root * words + context),
+        both ascending, and for each trigram, in order of context and word, the places of its
+        context and its pair among them; log10 probabilities of pairs and trigrams, and of
+        backing off from each context."""
+        pair_root = pairs.astype(np.int64) // max(words, 1)
         first = np.searchsorted(pair_root, np.arange(roots + 1))
         longest = int(np.diff(first).max(initial=0)) + 1
-        ctx, ctx_of = np.unique(r * words + t, return_inverse=True)
-        ctx_n = np.bincount(ctx_of, count, len(ctx))
-        p3 = (count + kappa[1] * p2[pair_of]) / (ctx_n[ctx_of] + kappa[1])
-        relative = pair_of - first[r]
+        relative = pair_of - first[pair_root[pair_of]] if len(pair_of) else pair_of
         levels = {
             "successors": EliasFano.build(pairs, roots * words + 1),
             "pointers": EliasFano.build(first, len(pairs) + 1),
-            "contexts": EliasFano.build(ctx, roots * words + 1),
-            "trigrams": EliasFano.build(ctx_of * longest + relative, len(ctx) * longest + 1),
+            "contexts": EliasFano.build(contexts, roots * words + 1),
+            "trigrams": EliasFano.build(ctx_of * longest + relative, len(contexts) * longest + 1),
         }
-        log = lambda x: quantise(np.log10(x))
-        codes = {"p2": log(p2), "p3": log(p3), "back2": log(kappa[0] / (root_n + kappa[0])), "back3": log(kappa[1] / (ctx_n + kappa[1]))}
-        return Trie(roots, words, longest, levels, codes)
-
-    def log10(self, root: np.ndarray, context: np.ndarray, word: np.ndarray, unigram_log: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context and root; `unigram_log` of each query."""
-        u = np.uint64
-        at, has = self.levels["successors"].find(root.astype(u) * u(self.words) + word.astype(u))
-        out = restore(self.codes["back2"][root]) + unigram_log
+        return Trie(roots, words, longest, levels, {"p2": quantise(p2), "back3": quantise(back3), "p3": quantise(p3)})
+
+    def pairs(self, root: np.ndarray, word: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word among its root's successors (-1: none), and log10 of the bigram
+        probability; `unseen` holds that of words that never follow the root."""
+        key = root.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64)
+        at, has = self.levels["successors"].find(key)
+        out, place = unseen.copy(), np.full(len(key), -1, np.int64)
         k = np.flatnonzero(has)
         out[k] = restore(self.codes["p2"][at[k]])
-        ctx, met = self.levels["contexts"].find(root.astype(u) * u(self.words) + context.astype(u))
-        met = np.flatnonzero(met)
-        longer = out[met] + restore(self.codes["back3"][ctx[met]])
-        both = np.flatnonzero(has[met])
-        pair = met[both]
-        relative = at[pair] - self.levels["pointers"].at(root[pair].astype(np.int64)).astype(np.int64)
-        tri, seen = self.levels["trigrams"].find(ctx[pair].astype(u) * u(self.longest) + relative.astype(u))
-        longer[both[seen]] = restore(self.codes["p3"][tri[seen]])
-        out[met] = longer
+        place[k] = at[k] - self.levels["pointers"].at(root[k].astype(np.int64)).astype(np.int64)
+        return place, out
+
+    def contexts(self, root: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each context (-1: none), and log10 of the weight of backing off from it."""
+        key = root.astype(np.uint64) * np.uint64(self.words) + context.astype(np.uint64)
+        at, met = self.levels["contexts"].find(key)
+        k = np.flatnonzero(met)
+        out = np.zeros(len(key))
+        out[k] = restore(self.codes["back3"][at[k]])
+        return np.where(met, at, -1), out
+
+    def trigrams(self, context: np.ndarray, place: np.ndarray, back: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """log10 probability of the word at a place among its root's successors after a context."""
+        out = back + shorter
+        k = np.flatnonzero((context >= 0) & (place >= 0))
+        at, seen = self.levels["trigrams"].find(context[k].astype(np.uint64) * np.uint64(self.longest) + place[k].astype(np.uint64))
+        out[k[seen]] = restore(self.codes["p3"][at[seen]])
         return out
 
     def save(self, file) -> None:

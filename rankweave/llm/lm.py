@@ -6,20 +6,25 @@ pruned.  Tokens are lower-cased words and one end for each document.
 1. Blocks of documents ask for the counts of their distinct words.  A shard of
    the vocabulary adds up the training counts and numbers its words, frequent
    ones first, so their numbers are small.
-2. Blocks ask for their distinct trigrams (t, u, w) with their training counts.
-   Shards hold whole roots u.  A shard adds the counts up, builds the trie of its
-   roots, writes it to a file that it maps into memory, and answers each trigram
-   with its quantised probability (the unigram in it from counts rounded down to
-   1/64 of an octave, so that no context gives out more than one).  A root with more than ``HOT`` occurrences is
-   split by a hash of the word t before it, and each part is a root of its own:
-   its bigrams are then conditioned on that hash too, a finer context for words
-   that have the counts for it.
-3. Blocks add up what their tokens cost.
-
-The first token of a document, and a token after a word that no training
-document has, cost their unigram probability, which is the base score's.
-Every table, question and answer grows with the corpus; no task holds more than
-a shard or a block, and nothing is gathered on the driver but two sums.
+2. Blocks ask for the counts of their distinct pairs of neighbours (a, b), from
+   shards that hold all of a root a, or a part of a frequent one's pairs.  From
+   the exact counts a block has each bigram's smoothed probability, and how often
+   each pair is met as a context.
+3. Blocks ask for their distinct trigrams (t, u, w), with their training counts,
+   the pair's probability and the context's count.  Shards hold roots u, or parts
+   of frequent ones by t and w.  A shard adds the counts up, builds the trie of its
+   trigrams, writes it to a file that it maps into memory, and answers each with
+   its quantised probability.
+4. Blocks add up what their tokens cost.
+
+What a count or a probability is does not depend on how roots are dealt out, so
+scores are the same for every size of shard.  A word, pair or trigram that is
+everywhere is one question a block.  Every table, question and answer grows with
+the corpus; no task holds more than a shard or a block, and nothing is gathered
+on the driver but a few sums.
+
+A trie's file is the task's own: it is made in the task's temporary folder, mapped,
+unlinked at once and gone with the trie; nothing else reads it.
 
 Defined results: null and empty texts are one end token; without training
 tokens every token has probability 1 and scores are 0.
@@ -34,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rankweave.llm import kernels as K
-from rankweave.llm.blocks import NO_ID, Blocks, answered, cut, doc_ids
+from rankweave.llm.blocks import NO_ID, Blocks, answered, doc_ids, runs, shard_of
 from rankweave.llm.elias_fano import Trie, quantise, restore
 from rankweave.llm.storage import written
 
-#: Text of a block, distinct words of a vocabulary shard, trigrams of a trie shard.
-BLOCK_BYTES, WORD_SHARD, TRIGRAM_SHARD = 4 << 20, 1_000_000, 400_000
-#: Occurrences beyond which a root is split, and the most parts.
-HOT, PARTS = 2_000_000, 4096
+#: Bytes of text of a block.
+BLOCK_BYTES = 4 << 20
+#: Tokens for each shard of words, of pairs and of trigrams; occurrences of a part of a root.
+WORD_SHARD, PAIR_SHARD, TRIGRAM_SHARD, PART = 4_000_000, 600_000, 400_000, 100_000
 #: Weights of the shorter contexts: of unigrams in bigrams, of bigrams in trigrams.
 KAPPA = (1000.0, 6.0)
 
@@ -61,7 +66,7 @@ def _describe(data: np.ndarray, offs: np.ndarray, rows: pa.RecordBatch) -> tuple
     names, place = np.unique(tokens, return_inverse=True)
     train = np.asarray(rows.column(1).to_numpy(zero_copy_only=False), bool)
     body = K.pack_all(K.deltas(names), place, counts + 1, doc_ids(rows.column(0)).astype(np.int64).view(np.uint64), train)
-    return body, [int((counts + 1)[train].sum())], len(tokens)
+    return body, [int((counts + 1)[train].sum()), int(train.sum())], len(tokens)
 
 
 class _Tokens:
@@ -92,102 +97,159 @@ def _word_answers(shard: int, blobs: list[bytes], shards: int) -> list[bytes]:
     return out
 
 
-def level_of(count: np.ndarray) -> np.ndarray:
-    """Counts on a scale of 64 steps an octave, rounded down; 0 for 0."""
-    return np.where(count > 0, 1 + np.floor(64 * np.log2(np.maximum(count, 1))), 0).astype(np.uint64)
+class _Grams:
+    """Distinct pairs and trigrams of a block in order, and which each token asks for.
 
+    Words go by the place of their number among the block's; unknown words are one.
+    """
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, np.exp2((level.astype(np.float64) - 1) / 64), 0.0)
-
-
-class _Trigrams:
-    """Distinct (part, root, context, word) of a block in order, and which each token asks for."""
-
-    def __init__(self, tokens: _Tokens, count: np.ndarray, number: np.ndarray, shards: int) -> None:
-        self.count, self.number = count, number
-        values, rank = np.unique(np.concatenate((number, [_START])), return_inverse=True)
+    def __init__(self, tokens: _Tokens, count: np.ndarray, number: np.ndarray, starts: int, shards: tuple[int, int], part: int = PART) -> None:
+        self.values, rank = np.unique(np.concatenate((number, [_START])), return_inverse=True)
+        self.count = np.zeros(len(self.values), np.uint64)
+        self.count[rank] = np.concatenate((count, [np.uint64(starts)]))
         w = rank[tokens.place]
         first = tokens.ends - tokens.counts
-        n = len(w)
-        asks = np.ones(n, bool)
+        before = np.empty(len(w), np.int64)
+        before[1:] = w[:-1]
+        before[first] = rank[-1]
+        self.pairs, of = np.unique(before.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_inverse=True)
+        self.a, self.b = (self.pairs >> np.uint64(32)).astype(np.int64), (self.pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.pair_seen = np.bincount(of, tokens.in_train, len(self.pairs)).astype(np.uint64)
+        # a root's parts are told apart by what else the question holds
+        self.parts = np.maximum((self.count + np.uint64(part - 1)) // np.uint64(part), 1)
+        self.spread = K.mix64(self.values + np.uint64(0x5BD1E995))
+        known = self.values[self.a] != _UNKNOWN
+        self.pair_order, self.pair_runs = self._dealt(self.a[known], self.spread[self.b[known]], shards[0])
+        self.pair_order = np.flatnonzero(known)[self.pair_order]
+        asks = known[of]
         asks[first] = False
-        u, t = np.empty(n, np.int64), np.empty(n, np.int64)
-        u[1:], t[2:] = w[:-1], w[:-2]
-        t[(first + 1)[tokens.counts > 1]] = rank[-1]
-        asks[1:] &= (number[tokens.place] != _UNKNOWN)[:-1]
-        self.asks = np.flatnonzero(asks)
-        u, t, w = u[self.asks], t[self.asks], w[self.asks]
-        if len(values) < 1 << 21:
-            key = (u << 42 | t << 21 | w).astype(np.uint64)
-            every, self.which = np.unique(key, return_inverse=True)
-            u, t, w = (every >> np.uint64(42)).astype(np.int64), (every >> np.uint64(21)).astype(np.int64) & 0x1FFFFF, every.astype(np.int64) & 0x1FFFFF
-        else:
-            pairs, of = np.unique(u.astype(np.uint64) << np.uint64(32) | t.astype(np.uint64), return_inverse=True)
-            every, self.which = np.unique(of.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_inverse=True)
-            pair, w = pairs[(every >> np.uint64(32)).astype(np.int64)], (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            u, t = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self._trigram_input = tokens, of, w, np.flatnonzero(asks), shards[1]
+
+    def with_trigrams(self) -> _Grams:
+        tokens, of, w, self.asks, shards = self._trigram_input
+        turned = np.argsort(self.b << 32 | self.a)
+        place = np.empty(len(turned), np.uint64)
+        place[turned] = np.arange(len(turned), dtype=np.uint64)
+        key = place[of[self.asks - 1]] << np.uint64(32) | w[self.asks].astype(np.uint64)
+        every, self.which = np.unique(key, return_inverse=True)  # in order of u, t, w
+        self.context = turned[(every >> np.uint64(32)).astype(np.int64)]
+        self.pair = np.empty(len(every), np.int64)
+        self.pair[self.which] = of[self.asks]
         self.seen = np.bincount(self.which, tokens.in_train[self.asks], len(every)).astype(np.uint64)
-        of_value = np.zeros(len(values), np.uint64)
-        of_value[rank[:-1]] = count
-        parts = np.clip(-(-of_value.astype(np.int64) // HOT), 1, PARTS).astype(np.uint64)
-        part = np.zeros(len(u), np.uint64)
-        hot = np.flatnonzero(parts[u] > 1)
-        part[hot] = K.mix64(values[t[hot]]) % parts[u[hot]]
-        root = values[u] << np.uint64(12) | part
-        home = K.mix64(root)
-        shard = np.minimum((home >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.uint64(shards - 1)).astype(np.int64)
-        order = np.lexsort((w, t, root, shard)) if len(hot) else np.argsort(shard, kind="stable")
-        self.order = order
-        self.root, self.context, self.word, self.seen = root[order], values[t[order]], values[w[order]], self.seen[order]
-        self.level = level_of(of_value)[w[order]]
-        self.edge = np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def _trie_answers(blobs: list[bytes], unigram_total: float) -> list[bytes]:
+        u, t = self.a[self.pair], self.a[self.context]
+        rest = K.mix64(self.spread[t] + self.spread[self.b[self.pair]] * np.uint64(3))
+        self.order, self.runs = self._dealt(u, rest, shards)
+        return self
+
+    def _dealt(self, root: np.ndarray, rest: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of questions by shard, and which of them each shard gets."""
+        home = K.mix64(self.values[root] * np.uint64(0x9E3779B97F4A7C15) + rest % self.parts[root])
+        shard = shard_of(home, shards)
+        order = np.argsort(shard.astype(np.uint16) if shards <= 65536 else shard, kind="stable")
+        return order, runs(shard[order])
+
+    def ask_pairs(self) -> Iterator[tuple[int, bytes]]:
+        for s, i, j in self.pair_runs:
+            k = self.pair_order[i:j]
+            yield s, K.pack_all(K.deltas(self.values[self.a[k]]), self.values[self.b[k]], self.pair_seen[k])
+
+    def ask_trigrams(self, told: dict[int, bytes], unigram_total: float) -> Iterator[tuple[int, bytes]]:
+        """With the answers about pairs."""
+        n = np.zeros(len(self.pairs))
+        for s, i, j in self.pair_runs:
+            n[self.pair_order[i:j]] = K.unpack(told[s])[0]
+        count = self.count.astype(np.float64)
+        unigram = (count + 1) / unigram_total
+        p2 = (n + KAPPA[0] * unigram[self.b]) / (count[self.a] + KAPPA[0])
+        code = quantise(np.log10(p2)).astype(np.uint64) << np.uint64(1) | (n > 0).astype(np.uint64)
+        for s, i, j in self.runs:
+            k = self.order[i:j]
+            pair, context = self.pair[k], self.context[k]
+            yield s, K.pack_all(K.deltas(self.values[self.a[pair]]), self.values[self.a[context]], self.values[self.b[pair]], self.seen[k], code[pair], n[context].astype(np.uint64))
+
+
+def _distinct(sorted_keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _pair_answers(blobs: list[bytes]) -> list[bytes]:
+    parts = [K.unpack_all(b) for b in blobs]
+    a = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    b, seen = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    order = np.lexsort((b, a))
+    group = np.cumsum(_distinct([a[order], b[order]])) - 1
+    total = np.bincount(group, seen[order])
+    answer = np.empty(len(order), np.uint64)
+    answer[order] = total[group]
+    ends = np.cumsum([len(p[0]) for p in parts])
+    return [K.pack(answer[end - len(p[0]) : end]) for end, p in zip(ends, parts, strict=True)]
+
+
+def _trie_answers(blobs: list[bytes]) -> list[bytes]:
     parts = [K.unpack_all(b) for b in blobs]
+    sizes = [len(p[0]) for p in parts]
     root = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    context, word, level, seen = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+    context, word, seen, code, ctx_n = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    del parts
     roots, r = np.unique(root, return_inverse=True)
     words, both = np.unique(np.concatenate((context, word)), return_inverse=True)
     t, w = both[: len(root)], both[len(root) :]
-    levels = np.zeros(len(words), np.uint64)
-    levels[w] = level
-    unigram = (count_of(levels) + 1) / unigram_total
-    order = np.lexsort((w, r * len(words) + t))
-    order = order[seen[order] > 0]
-    kr, kt, kw = r[order], t[order], w[order]
-    if len(order):
-        new = np.ones(len(order), bool)
-        new[1:] = (kr[1:] != kr[:-1]) | (kt[1:] != kt[:-1]) | (kw[1:] != kw[:-1])
-        first = np.flatnonzero(new)
-        n = np.add.reduceat(seen[order].astype(np.float64), first)
-        kr, kt, kw = kr[first], kt[first], kw[first]
+    v = len(words)
+    ctx_key = r * v + t
+    if len(roots) * v * v < 1 << 62:  # one key; what the blocks sent is in its order already
+        order = np.argsort(ctx_key * v + w, kind="stable")
     else:
-        n = np.zeros(0)
-    trie = Trie.build(kr, kt, kw, n, len(roots), len(words), unigram, KAPPA).mapped()
-    cost = quantise(trie.log10(r, t, w, np.log10(unigram)[w]))
-    ends = np.cumsum([len(p[0]) for p in parts])
-    return [K.pack(cost[end - len(p[0]) : end]) for end, p in zip(ends, parts, strict=True)]
-
-
-def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2") -> DataFrame:
+        order = np.lexsort((w, ctx_key))
+    new = _distinct([ctx_key[order], w[order]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    n = np.bincount(which, seen)
+    ctx_key, w, r, code, ctx_n = ctx_key[one], w[one], r[one], code[one], ctx_n[one].astype(np.float64)
+    # distinct pairs (u, w) and contexts (u, t) of these trigrams
+    pairs, pair_at, pair_of = np.unique(r * v + w, return_index=True, return_inverse=True)
+    fresh = _distinct([ctx_key])
+    contexts, ctx_of, ctx_at = ctx_key[fresh], np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    p2 = restore(code[pair_at] >> np.uint64(1))
+    back = np.log10(KAPPA[1] / (ctx_n[ctx_at] + KAPPA[1]))
+    met_pair, met_ctx = (code[pair_at] & np.uint64(1)) == 1, ctx_n[ctx_at] > 0
+    in_trie = np.flatnonzero(n > 0)
+    p3 = np.log10((n[in_trie] + KAPPA[1] * 10.0 ** p2[pair_of[in_trie]]) / (ctx_n[in_trie] + KAPPA[1]))
+    pair_place, ctx_place = np.cumsum(met_pair) - 1, np.cumsum(met_ctx) - 1
+    trie = Trie.build(
+        len(roots), v, pairs[met_pair], p2[met_pair], contexts[met_ctx], back[met_ctx], ctx_place[ctx_of[in_trie]], pair_place[pair_of[in_trie]], p3
+    ).mapped()
+    place, shorter = trie.pairs(r[pair_at], w[pair_at], p2)
+    at, weight = trie.contexts(r[ctx_at], contexts % v)
+    cost = trie.trigrams(at[ctx_of], place[pair_of], weight[ctx_of], shorter[pair_of])
+    answer = np.rint(cost * -2048).astype(np.uint64)[which]
+    ends = np.cumsum(sizes)
+    return [K.pack(answer[end - size : end]) for end, size in zip(ends, sizes, strict=True)]
+
+
+def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 = 2", block_bytes: int = BLOCK_BYTES, shards: tuple[int, int, int] = (WORD_SHARD, PAIR_SHARD, TRIGRAM_SHARD), part: int = PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every
-    document, under the model of those for which `held_out` is not true."""
+    document, under the model of those for which `held_out` is not true.
+
+    `shards`: tokens of the corpus for each shard of words, pairs and trigrams; `part`:
+    occurrences of a root in each of its parts.  Neither changes a score.
+    """
     given = docs.select(F.col("doc_id").cast("long"), (~F.coalesce(F.expr(held_out), F.lit(False))).alias("train"), "text")
-    blocks = Blocks(given, _describe, BLOCK_BYTES)
-    sums = blocks.table.agg(F.sum("size").alias("n"), F.sum(F.element_at("marks", 1)).alias("train")).first()
-    n, total = sums.n or 0, sums.train or 0
-    word_shards, trie_shards = max(8, n // (4 * WORD_SHARD)), max(8, n // TRIGRAM_SHARD)
+    blocks = Blocks(given, _describe, block_bytes)
+    sums = blocks.table.agg(F.sum("size").alias("n"), *[F.sum(F.element_at("marks", k)).alias(c) for k, c in ((1, "train"), (2, "starts"))]).first()
+    n, total, starts = sums.n or 0, sums.train or 0, sums.starts or 0
+    word_shards, pair_shards, trie_shards = (max(8, n // size) for size in shards)
 
     def ask_words(row: dict) -> Iterator[tuple[int, bytes]]:
         tokens = _Tokens(row["body"])
         seen = np.bincount(tokens.place, tokens.in_train, len(tokens.names)).astype(np.uint64)
-        ends = cut(tokens.names, word_shards)
-        for s in range(word_shards):
-            part = slice(ends[s], ends[s + 1])
-            if ends[s + 1] > ends[s]:
-                yield s, K.pack_all(K.deltas(tokens.names[part]), seen[part])
+        for s, i, j in runs(shard_of(tokens.names, word_shards)):
+            yield s, K.pack_all(K.deltas(tokens.names[i:j]), seen[i:j])
 
     words = answered(blocks.ask(ask_words), lambda s, blobs: _word_answers(s, blobs, word_shards), word_shards)
     words = written(words, "words")
@@ -201,21 +263,21 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
     distinct = one.mapInArrow(vocabulary, "shard long, known long").agg(F.sum("known")).first()[0] or 0
     unigram_total = float(total + distinct + 1)
 
-    def trigrams(row: dict) -> tuple[_Tokens, _Trigrams]:
+    def grams(row: dict) -> tuple[_Tokens, np.ndarray, _Grams]:
         tokens = _Tokens(row["body"])
         told = sorted((a["shard"], a["blob"]) for a in row["answers0"] or [])
         parts = [K.unpack_all(b) for _, b in told]
         count, number = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        return tokens, _Trigrams(tokens, count, number, trie_shards)
+        return tokens, count, _Grams(tokens, count, number, starts, (pair_shards, trie_shards), part)
+
+    def ask_pairs(row: dict) -> Iterator[tuple[int, bytes]]:
+        return grams(row)[2].ask_pairs()
 
     def ask_trigrams(row: dict) -> Iterator[tuple[int, bytes]]:
-        _, g = trigrams(row)
-        for s in range(trie_shards):
-            part = slice(g.edge[s], g.edge[s + 1])
-            if g.edge[s + 1] > g.edge[s]:
-                yield s, K.pack_all(K.deltas(g.root[part]), g.context[part], g.word[part], g.level[part], g.seen[part])
+        return grams(row)[2].with_trigrams().ask_trigrams({a["shard"]: a["blob"] for a in row["answers1"] or []}, unigram_total)
 
-    costs = answered(blocks.ask(ask_trigrams, words), lambda _, blobs: _trie_answers(blobs, unigram_total), trie_shards)
+    pairs = answered(blocks.ask(ask_pairs, words), lambda _, blobs: _pair_answers(blobs), pair_shards)
+    costs = answered(blocks.ask(ask_trigrams, words, pairs), lambda _, blobs: _trie_answers(blobs), trie_shards)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,12 +286,13 @@ def score(docs: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 7 =
                 K.release()
 
     def _scored(row: dict) -> pa.RecordBatch:
-        tokens, g = trigrams(row)
-        base = np.log10((g.count.astype(np.float64) + 1) / unigram_total)[tokens.place]
-        known = (g.count > 0)[tokens.place]
-        answer = np.zeros(len(g.order))
-        for a in row["answers1"] or []:
-            answer[g.order[g.edge[a["shard"]] : g.edge[a["shard"] + 1]]] = restore(K.unpack(a["blob"])[0])
+        tokens, count, g = grams(row)
+        g.with_trigrams()
+        base = np.log10((count.astype(np.float64) + 1) / unigram_total)[tokens.place]
+        known = (count > 0)[tokens.place]
+        answer, told = np.zeros(len(g.order)), {a["shard"]: a["blob"] for a in row["answers1"] or []}
+        for s, i, j in g.runs:
+            answer[g.order[i:j]] = restore(K.unpack(told[s])[0])
         cost = base.copy()
         cost[g.asks] = answer[g.which]
         first = tokens.ends - tokens.counts

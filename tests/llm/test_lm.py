@@ -27,30 +27,51 @@ def test_elias_fano(values, wanted, wide):
         assert bits <= len(values) * (3 + math.log2((int(values[-1]) + 1) / len(values) + 1)) + 200
 
 
+def build_trie(keys, count, unigram, kappa):
+    """Trie and arrays p2[root, word], from sorted (root, context, word)."""
+    v = len(unigram)
+    want = np.zeros((v, v, v))
+    want[keys[:, 0], keys[:, 1], keys[:, 2]] = count
+    p2 = (want.sum(1) + kappa[0] * unigram) / (want.sum((1, 2))[:, None] + kappa[0])
+    p3 = (want + kappa[1] * p2[:, None, :]) / (want.sum(2)[:, :, None] + kappa[1])
+    pairs, pair_of = np.unique(keys[:, 0] * v + keys[:, 2], return_inverse=True)
+    ctx, ctx_of = np.unique(keys[:, 0] * v + keys[:, 1], return_inverse=True)
+    back = kappa[1] / (want.sum(2).ravel()[ctx] + kappa[1])
+    trie = E.Trie.build(v, v, pairs, np.log10(p2).ravel()[pairs], ctx, np.log10(back), ctx_of, pair_of, np.log10(p3[keys[:, 0], keys[:, 1], keys[:, 2]]))
+    return trie, p2, p3
+
+
+def ask(trie, r, t, w, p2):
+    place, shorter = trie.pairs(r, w, np.log10(p2[r, w]))
+    at, back = trie.contexts(r, t)
+    return trie.trigrams(at, place, back, shorter)
+
+
 def test_trie_saves_and_maps(tmp_path):
     rng = np.random.Generator(np.random.PCG64(5))
     keys = np.unique(rng.integers(0, 20, (400, 3)), axis=0)
     count = rng.integers(1, 9, len(keys)).astype(float)
     unigram = rng.random(20)
     unigram /= unigram.sum() * 1.1
-    trie = E.Trie.build(keys[:, 0], keys[:, 1], keys[:, 2], count, 20, 20, unigram, (3.0, 2.0))
+    trie, p2, p3 = build_trie(keys, count, unigram, (3.0, 2.0))
     r, t, w = (x.ravel() for x in np.meshgrid(np.arange(20), np.arange(20), np.arange(20), indexing="ij"))
-    one = trie.log10(r, t, w, np.log10(unigram)[w])
+    one = ask(trie, r, t, w, p2)
     path = tmp_path / "trie"
     with path.open("w+b") as f:
         trie.save(f)
         again = E.Trie.open(f)
-    assert (again.log10(r, t, w, np.log10(unigram)[w]) == one).all()
-    assert (trie.mapped().log10(r, t, w, np.log10(unigram)[w]) == one).all()
-    want = np.zeros((20, 20, 20))
-    want[keys[:, 0], keys[:, 1], keys[:, 2]] = count
-    p2 = (want.sum(1) + 3 * unigram) / (want.sum((1, 2))[:, None] + 3)
-    p3 = (want + 2 * p2[:, None, :]) / (want.sum(2)[:, :, None] + 2)
+    assert (ask(again, r, t, w, p2) == one).all() and (ask(trie.mapped(), r, t, w, p2) == one).all()
     assert np.abs(one - np.log10(p3).ravel()).max() < 6e-4
     assert (p3.sum(2) < 1).all()  # no context gives out more than one
 
 
-def brute(docs, held, kappa, hot=None):
+def test_rare_events_keep_their_probability():
+    assert E.restore(E.quantise(np.array([-23.456]))) == pytest.approx(-23.456, abs=3e-4)
+    with pytest.raises(OverflowError):
+        E.quantise(np.array([-40.0]))
+
+
+def brute(docs, held, kappa):
     c, pairs, triples, starts, ctx = Counter(), Counter(), Counter(), Counter(), Counter()
     tokens = {k: [*words_of(t), None] for k, t in docs.items()}
     for k, w in tokens.items():
@@ -63,7 +84,6 @@ def brute(docs, held, kappa, hot=None):
                 triples[t, w[i - 1], w[i]] += 1
                 ctx[t, w[i - 1]] += 1
     n, v = sum(c.values()), len(c)
-    rounded = lambda x: (2 ** (math.floor(64 * math.log2(c[x]) + 1e-12) / 64) + 1 if c[x] else 1) / (n + v + 1)
     out = {}
     for k, w in tokens.items():
         base = [math.log10((c[x] + 1) / (n + v + 1)) for x in w]
@@ -73,7 +93,7 @@ def brute(docs, held, kappa, hot=None):
             if not c[u]:
                 s += base[i]
                 continue
-            p2 = (pairs[u, x] + kappa[0] * rounded(x)) / (starts[u] + kappa[0])
+            p2 = (pairs[u, x] + kappa[0] * (c[x] + 1) / (n + v + 1)) / (starts[u] + kappa[0])
             s += math.log10((triples[t, u, x] + kappa[1] * p2) / (ctx[t, u] + kappa[1]))
         out[k] = len(w), sum(c[x] > 0 for x in w), n, sum(base), s
     return out
@@ -90,33 +110,37 @@ def corpus():
 
 
 @pytest.mark.parametrize("block_bytes", [400, 6 << 20])
-def test_against_brute_force(make, monkeypatch, block_bytes):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", block_bytes)
+def test_against_brute_force(make, block_bytes):
     texts = corpus()
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
     want = brute(dict(enumerate(texts)), held, lm.KAPPA)
-    for r in lm.score(make(texts)).collect():
+    for r in lm.score(make(texts), block_bytes=block_bytes).collect():
         n, known, train, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, held(r.doc_id))
         assert r.base_score == pytest.approx(base, rel=1e-9) and abs(r.score - score) < 1e-3 * n
 
 
-def test_split_roots_stay_a_probability(make, monkeypatch):
-    """Hot roots are conditioned on a hash of the word before; scores stay finite and close."""
+def test_scores_do_not_depend_on_shards(make):
+    """Roots in many parts, and a handful of tokens a shard: the same scores, to the last bit."""
     texts = corpus()
-    one = {r.doc_id: r for r in lm.score(make(texts)).collect()}
-    monkeypatch.setattr(lm, "HOT", 20)
-    for r in lm.score(make(texts)).collect():
-        assert r.base_score == one[r.doc_id].base_score and r.score < 0
-        assert abs(r.score - one[r.doc_id].score) < 0.5 * r.n_tokens
+    one = {r.doc_id: (r.score, r.base_score) for r in lm.score(make(texts), block_bytes=2000).collect()}
+    for shards, part in (((50, 30, 40), 5), ((5000, 5000, 5000), 1)):
+        again = {r.doc_id: (r.score, r.base_score) for r in lm.score(make(texts), block_bytes=2000, shards=shards, part=part).collect()}
+        assert again == one
 
 
-def test_large_blocks_sort_alike(make, monkeypatch):
-    tokens = lm._Tokens(lm._describe(*_block(["a b a b c", "b a b"]), )[0])
-    count = np.full(len(tokens.names), 3, np.uint64)
+def test_parts_spread_a_root():
+    """A root that is everywhere goes to many shards, and every question to just one."""
+    tokens = lm._Tokens(lm._describe(*_block([" ".join(f"the w{k}" for k in range(500))]))[0])
+    count = np.full(len(tokens.names), 10, np.uint64)
     number = np.arange(len(tokens.names), dtype=np.uint64) + np.uint64(50)
-    g = lm._Trigrams(tokens, count, number, 4)
-    assert g.seen.sum() == len(g.asks) and (np.diff(g.edge) >= 0).all() and g.edge[-1] == len(g.root)
+    whole, spread = (lm._Grams(tokens, count, number, 1, (64, 64), part).with_trigrams() for part in (100, 1))
+    for g in (whole, spread):
+        assert sorted(g.order) == list(range(len(g.pair))) and sum(j - i for _, i, j in g.runs) == len(g.pair)
+        assert g.seen.sum() == len(g.asks)
+    the = np.bincount(whole.a).argmax()
+    shards = lambda g: {s for s, i, j in g.runs if (g.a[g.pair[g.order[i:j]]] == the).any()}
+    assert len(shards(whole)) == 1 and len(shards(spread)) > 8
 
 
 def _block(texts):
