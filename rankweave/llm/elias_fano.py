@@ -81,6 +81,23 @@ class EliasFano:
         lo[beyond] = self.n
         return lo, found
 
+    def look(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` or ``find``, by whether the values ascend."""
+        return self.merge(x) if (x[1:] >= x[:-1]).all() else self.find(x)
+
+    def merge(self, x: np.ndarray, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """What ``find`` gives, for many ascending values: the sequence is decoded once, a
+        chunk at a time, beside them."""
+        index, found = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        done = 0
+        for first in range(0, self.n, chunk):
+            values = self.at(np.arange(first, min(self.n, first + chunk)))
+            to = int(np.searchsorted(x, values[-1], "right"))
+            k = np.searchsorted(values, x[done:to])
+            index[done:to], found[done:to] = first + k, values[k] == x[done:to]
+            done = to
+        return index, found
+
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         if self._ones is None:
@@ -141,7 +158,7 @@ class Trie:
         """Place of each word among its root's successors (-1: none), and log10 of the bigram
         probability; `unseen` holds that of words that never follow the root."""
         key = root.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64)
-        at, has = self.levels["successors"].find(key)
+        at, has = self.levels["successors"].look(key)
         out, place = unseen.copy(), np.full(len(key), -1, np.int64)
         k = np.flatnonzero(has)
         out[k] = restore(self.codes["p2"][at[k]])
@@ -151,7 +168,7 @@ class Trie:
     def contexts(self, root: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each context (-1: none), and log10 of the weight of backing off from it."""
         key = root.astype(np.uint64) * np.uint64(self.words) + context.astype(np.uint64)
-        at, met = self.levels["contexts"].find(key)
+        at, met = self.levels["contexts"].look(key)
         k = np.flatnonzero(met)
         out = np.zeros(len(key))
         out[k] = restore(self.codes["back3"][at[k]])
@@ -161,7 +178,7 @@ class Trie:
         """log10 probability of the word at a place among its root's successors after a context."""
         out = back + shorter
         k = np.flatnonzero((context >= 0) & (place >= 0))
-        at, seen = self.levels["trigrams"].find(context[k].astype(np.uint64) * np.uint64(self.longest) + place[k].astype(np.uint64))
+        at, seen = self.levels["trigrams"].look(context[k].astype(np.uint64) * np.uint64(self.longest) + place[k].astype(np.uint64))
         out[k[seen]] = restore(self.codes["p3"][at[seen]])
         return out
 

@@ -170,28 +170,30 @@ def slices(data: np.ndarray, offs: np.ndarray, limit: int = 2 * CHUNK) -> Iterat
 # Arrays travel through shuffles as zstd-compressed byte planes: the upper
 # planes of sorted differences or of frequency-ordered ids are nearly constant.
 
-_PACK = zstandard.ZstdCompressor(level=1)
+_PACK = zstandard.ZstdCompressor(level=1, write_content_size=False)
 _UNPACK = zstandard.ZstdDecompressor()
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
+    """Unsigned integers as compressed byte planes; planes that don't shrink stay as they are."""
     v = np.ascontiguousarray(values, dtype=np.uint64)
-    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    n = len(v)
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if n else 1
     planes = np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    parts = [_PACK.compress(p.tobytes()) for p in planes]
-    head = np.array([len(v), width, *map(len, parts)], dtype=np.uint64).tobytes()
-    return head + b"".join(parts)
+    raw = [p.tobytes() for p in planes]
+    parts = [small if len(small) < n else p for small, p in zip(map(_PACK.compress, raw), raw, strict=True)]
+    return np.array([n, width, *map(len, parts)], dtype=np.uint32).tobytes() + b"".join(parts)
 
 
 def unpack(blob: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     """The array at `at` and where the next one begins."""
-    n, width = (int(x) for x in np.frombuffer(blob, np.uint64, 2, at))
-    sizes = np.frombuffer(blob, np.uint64, width, at + 16)
-    at += 16 + 8 * width
+    n, width = (int(x) for x in np.frombuffer(blob, np.uint32, 2, at))
+    sizes = np.frombuffer(blob, np.uint32, width, at + 8)
+    at += 8 + 4 * width
     out = np.zeros((8, n), np.uint8)
     for k, size in enumerate(map(int, sizes)):
-        out[k] = np.frombuffer(_UNPACK.decompress(blob[at : at + size], max_output_size=max(n, 1)), np.uint8)
+        part = blob[at : at + size]
+        out[k] = np.frombuffer(part if size == n else _UNPACK.decompress(part, max_output_size=max(n, 1)), np.uint8)
         at += size
     return np.ascontiguousarray(out.T).view(np.uint64).reshape(-1), at
 

@@ -44,9 +44,9 @@ from rankweave.llm.elias_fano import Trie, quantise, restore
 from rankweave.llm.storage import written
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens for each shard of words, of pairs and of trigrams; occurrences of a part of a root.
-WORD_SHARD, PAIR_SHARD, TRIGRAM_SHARD, PART = 4_000_000, 600_000, 400_000, 100_000
+WORD_SHARD, PAIR_SHARD, TRIGRAM_SHARD, PART = 4_000_000, 1_200_000, 700_000, 200_000
 #: Weights of the shorter contexts: of unigrams in bigrams, of bigrams in trigrams.
 KAPPA = (1000.0, 6.0)
 
@@ -165,7 +165,10 @@ class _Grams:
         for s, i, j in self.runs:
             k = self.order[i:j]
             pair, context = self.pair[k], self.context[k]
-            yield s, K.pack_all(K.deltas(self.values[self.a[pair]]), self.values[self.a[context]], self.values[self.b[pair]], self.seen[k], code[pair], n[context].astype(np.uint64))
+            root, before = self.values[self.a[pair]], self.values[self.a[context]]
+            step = before.copy()  # ascends within a root
+            step[1:] -= np.where(root[1:] == root[:-1], before[:-1], np.uint64(0))
+            yield s, K.pack_all(K.deltas(root), step, self.values[self.b[pair]], self.seen[k], code[pair], n[context].astype(np.uint64))
 
 
 def _distinct(sorted_keys: list[np.ndarray]) -> np.ndarray:
@@ -194,7 +197,12 @@ def _trie_answers(blobs: list[bytes]) -> list[bytes]:
     parts = [K.unpack_all(b) for b in blobs]
     sizes = [len(p[0]) for p in parts]
     root = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    context, word, seen, code, ctx_n = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    step, word, seen, code, ctx_n = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+    first = _distinct([root])
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    first = np.flatnonzero(first)
+    context = np.cumsum(step, dtype=np.uint64)
+    context -= np.repeat(context[first] - step[first], np.diff(np.append(first, len(root))))
     del parts
     roots, r = np.unique(root, return_inverse=True)
     words, both = np.unique(np.concatenate((context, word)), return_inverse=True)

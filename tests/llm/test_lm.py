@@ -22,6 +22,9 @@ def test_elias_fano(values, wanted, wide):
     at, found = ef.find(wanted)
     assert (at == np.searchsorted(values, wanted)).all() and (found == np.isin(wanted, values)).all()
     assert (ef.at(np.arange(len(values))) == values).all()
+    for chunk in (3, 1 << 18):
+        in_order = ef.merge(np.sort(wanted), chunk)
+        assert all((a == b).all() for a, b in zip(in_order, ef.find(np.sort(wanted)), strict=True))
     if len(values):
         bits = 8 * (ef.low.nbytes + ef.high.nbytes)
         assert bits <= len(values) * (3 + math.log2((int(values[-1]) + 1) / len(values) + 1)) + 200
