@@ -11,7 +11,7 @@ def search(n: int, below: Callable[[int], Column], start: int = 0) -> Column:
     """How many of the constants start..n-1, in ascending order, `below` says a row lies beyond.
 
     A binary search written out as nested conditions, so it compiles to a few
-    comparisons for each row; for up to a few hundred constants.
+    comparisons for each row; for a few dozen constants (``with_place`` for more).
     """
     if start >= n:
         return F.lit(start)

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankweave.functions import search, slot_of_rank, whole
+from rankweave.functions import slot_of_rank, whole
+from rankweave.operators.cutsearch import with_place
 from rankweave.operators.rank import Cut
 from rankweave.plans.levels import pow2_at_most
 from rankweave.spec import SortSpec
@@ -28,24 +29,23 @@ def block_pid(rows: int) -> Column:
     return whole(F.col("rank"), max(rows, 1)).cast("int")
 
 
-def cut_pid(spec: SortSpec, cuts: Sequence[Cut]) -> Column:
-    """Partition of a row between cuts: how many cuts it is not before."""
-    at = [c.at for c in cuts]
-    real = [a for a in at if a is not None]  # cuts at the end come last and hold no rows back
-    return spec.passed(real).cast("int")
+def with_cut_pid(df: DataFrame, spec: SortSpec, cuts: Sequence[Cut], name: str = "pid") -> DataFrame:
+    """Adds the partition of each row between cuts: how many cuts it is not before."""
+    real = [c.at for c in cuts if c.at is not None]  # cuts at the end come last and hold no rows back
+    return with_place(df, spec.total, real, name)
 
 
-def bound_pid(position: Column, bounds: Sequence[int]) -> Column:
-    """Partition of a global position between bounds."""
-    return search(len(bounds), lambda k: position >= bounds[k]).cast("int")
+def with_bound_pid(df: DataFrame, position: str, bounds: Sequence[int], name: str = "pid") -> DataFrame:
+    """Adds the partition of each global position between ascending bounds."""
+    return with_place(df, SortSpec.by(position).keys, [(b,) for b in bounds], name)
 
 
 def even_in_group(df: DataFrame, group: str, rank: str, sizes: DataFrame, slots: str, n: str) -> DataFrame:
     """Adds ``slot``: an even split of each group's ranks over that group's slots.
 
-    `sizes`: a row for each group with its number of slots and of rows.
+    `sizes`: a row for each group with its number of slots and of rows; groups may be many.
     """
-    joined = df.join(F.broadcast(sizes), group)
+    joined = df.join(sizes, group)
     size, more = F.expr(f"`{n}` div `{slots}`"), F.col(n) % F.col(slots)
     wide = more * (size + 1)
     high = F.expr(f"(`{rank}` - (`{n}` % `{slots}`) * (`{n}` div `{slots}` + 1)) div greatest(`{n}` div `{slots}`, 1)") + more

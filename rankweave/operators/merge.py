@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankweave.operators.rank import global_rank
-from rankweave.operators.scan import last_flagged
+from rankweave.operators.scan import last_flagged, running_total
 from rankweave.spec import Key, SortSpec
 
 
@@ -48,17 +48,26 @@ def is_bitonic(df: DataFrame, position: Column, spec: SortSpec) -> bool:
     A part is all rows of one position; parts may touch in equal keys.
     """
     keys = F.struct(*[F.expr(k.expr) for k in spec.keys])
-    parts = df.groupBy(position.alias("p")).agg(F.min(keys).alias("low"), F.max(keys).alias("high")).orderBy("p").collect()
-    rising = False
-    for a, b in zip(parts, parts[1:], strict=False):
-        up, down = tuple(a.high) <= tuple(b.low), tuple(a.low) >= tuple(b.high)
-        if up and down:
-            continue
-        if up:
-            rising = True
-        elif not down or rising:
-            return False
-    return True
+    parts = df.groupBy(position.alias("p")).agg(F.min(keys).alias("low"), F.max(keys).alias("high"))
+    return bool(turns(parts).first().bitonic)
+
+
+def turns(parts: DataFrame) -> DataFrame:
+    """``bitonic``: whether intervals (p, low, high) first fall and then rise with p.
+
+    Two neighbours fall, rise, touch (both), or overlap (neither).  The neighbour of each
+    part is found in a range layout, so no window takes all of them; what goes on from
+    there is the last place that falls and the first that rises.
+    """
+    pairs = last_flagged(parts.withColumn("span", F.struct("low", "high")), SortSpec.by("p"), F.lit(True), "span")
+    first = parts.agg(F.min("p").alias("first")).first().first
+    if first is None:
+        return parts.sparkSession.range(1).select(F.lit(True).alias("bitonic"))
+    pairs = pairs.filter(F.col("p") != F.lit(first))
+    up, down = F.col("prev_flagged.high") <= F.col("low"), F.col("prev_flagged.low") >= F.col("high")
+    return pairs.agg(
+        (F.coalesce(~F.bool_or(~up & ~down), F.lit(True)) & F.coalesce(F.max(F.when(down & ~up, F.col("p"))) < F.min(F.when(up & ~down, F.col("p"))), F.lit(True))).alias("bitonic")
+    )
 
 
 def stripe_overlaps(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_size: str, y_size: str) -> DataFrame:
@@ -69,8 +78,6 @@ def stripe_overlaps(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_size: st
     lies a piece of one stripe of each, found as the nearest begin before it.  So the
     join costs a sort of the ends, however many stripes there are.
     """
-    from rankweave.operators.scan import running_total
-
     ends = []
     for df, i, size, name in ((x, x_id, x_size, "x"), (y, y_id, y_size, "y")):
         laid = running_total(df.select(F.col(i).alias("id"), F.col(size).cast("long").alias("size")).filter("size > 0"), SortSpec.by("id"), "size")
@@ -88,6 +95,6 @@ def stripe_overlaps(x: DataFrame, y: DataFrame, x_id: str, y_id: str, x_size: st
     points = last_flagged(points, order, F.col("sy").isNotNull(), "sy").withColumn("y", F.coalesce(F.col("sy.id"), F.col("prev_flagged.id"))).drop("prev_flagged")
     # the piece from each point to the next one
     steps = last_flagged(points, reversed_spec(order), F.lit(True), "at")
-    stop = points.agg(F.min(F.when(F.col("ex") | F.col("ey"), F.col("at"))).alias("stop"))
-    pieces = steps.join(F.broadcast(stop), F.col("at") < F.col("stop"))
+    stop = points.agg(F.min(F.when(F.col("ex") | F.col("ey"), F.col("at")))).first()[0]
+    pieces = steps.filter(F.col("at") < (0 if stop is None else stop))
     return pieces.select("x", "y", (F.col("prev_flagged") - F.col("at")).alias("size"))

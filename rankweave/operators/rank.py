@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rankweave.operators.cutsearch import lookup, with_place
 from rankweave.operators.scan import AT, PID, _carry, exclusive, in_order, partition_counts
 from rankweave.spec import SortSpec
 
@@ -84,17 +87,27 @@ class Window_:
     high: int
     left: tuple[int, tuple | None]
     right: tuple[int, tuple | None]
+    tied: bool = False  # the rows at the target equal the one at left
 
     @property
     def settled(self) -> bool:
-        return self.low <= self.left[0] or self.right[0] <= self.high
+        return self.tied or self.low <= self.left[0] or self.right[0] <= self.high
 
     @property
     def nearest(self) -> tuple[int, tuple | None]:
         a, b = self.left, self.right
-        if self.low <= a[0] and self.right[0] <= self.high:
+        if not self.tied and self.low <= a[0] and b[0] <= self.high:
             return a if self.target - a[0] <= b[0] - self.target else b
-        return a if self.low <= a[0] else b
+        return a if self.tied or self.low <= a[0] else b
+
+    def learn(self, first: int, after: int, at: tuple) -> None:
+        """`first` rows come before `at`, and `after` rows come before or equal it."""
+        if first <= self.target < after:
+            self.left, self.tied = (first, at), first < self.low
+        if self.left[0] <= first <= self.target:
+            self.left = (first, at)
+        if self.target <= first < self.right[0]:
+            self.right = (first, at)
 
 
 @dataclass
@@ -105,93 +118,130 @@ class Cut:
     at: tuple | None
 
 
-def multi_select(df: DataFrame, spec: SortSpec, targets: Sequence[int], slack: int = 0, samples: int = 0, seed: int = 1, rounds: int = 40, fetch: int = 20_000) -> list[Cut]:
-    """Rows at about the target ranks, by repeated sampling and exact counting.
-
-    Each round samples rows inside the windows still open - about `samples` for each,
-    or with 0 one random row each - counts exactly how many rows come before every
-    sample, and shrinks the windows.  A window is settled once a row within `slack`
-    of its target is known.  When at most `fetch` rows are left in open windows, those
-    rows themselves settle the rest.
+@dataclass
+class Search:
+    """What a search for cuts did: rounds (histograms taken) and rows that served as pivots."""
+
+    rounds: int = 0
+    pivots: int = 0
+
+
+def multi_select(
+    df: DataFrame, spec: SortSpec, targets: Sequence[int] | Callable[[int], tuple[list[int], int]], slack: int = 0, samples: int = 5, seed: int = 1, rounds: int = 500, pool: int = 32, done: Search | None = None
+) -> list[Cut]:
+    """Rows at about the target ranks, by repeated sampling and exact histograms.
+
+    Each round takes random rows inside each range still open as pivots - `samples` for
+    each target in it, or a single one if `samples` is 1 - counts exactly how many rows
+    come before each, and shrinks the ranges.  A target is settled once a row within
+    `slack` of it is known, or once all rows there are equal: a cut is then before
+    them.  Pivots come from a pool of about `pool` random rows a target, filled up
+    for open ranges that have no row left in it; only these rows, and one count for each
+    pivot, travel to the driver.  Targets still open after `rounds` rounds are an error.
+    Targets may be a function that gives them, and the slack, from the number of rows.
     """
-    names = [f"_k{i}" for i in range(len(spec.total))]
-    rows = df.select(*spec.values()).persist()
-    flat = SortSpec(tuple(type(k)(n, k.ascending, k.nulls_first) for k, n in zip(spec.total, names, strict=True)))
-    n = rows.count()
-    least = (0, None)  # everything is at or after it
-    found = [Window_(t, t - slack, t + slack, least, (n, None)) for t in targets]
-    first: tuple | None = None
-    for k in range(rounds):
-        open_ = [w for w in found if not w.settled and w.right[0] - w.left[0] > 1]
-        if not open_:
-            break
-        spans = sorted({(w.left, w.right) for w in open_}, key=lambda s: s[0][0])
-        inside = _inside(flat, spans)
-        left = sum(r[0] - l[0] for l, r in spans)
-        if left <= fetch:
-            rest = [tuple(r) for r in rows.filter(inside).orderBy(*flat.orderings()).collect()]
-            for (a, at), (b, end) in spans:
+    done = done or Search()
+    rng = np.random.Generator(np.random.PCG64(seed))
+    rows = df.select(*spec.values(), F.rand(seed).alias("_r")).persist()
+    try:
+        n = rows.count()
+        if callable(targets):
+            targets, slack = targets(n)
+        flat, place_of = spec.flat(), spec.sort_key()
+        found = [Window_(t, t - slack, t + slack, (0, None), (n, None)) for t in targets if t < n]
+        held: list[tuple] = []
+        for _ in range(rounds):
+            open_ = [w for w in found if not w.settled]
+            if not open_:
+                break
+            spans = sorted({(w.left, w.right) for w in open_}, key=lambda s: s[0][0])
+            want = [sum((w.left, w.right) == s for w in open_) for s in spans]
+            within = _by_span(held, spans, place_of)
+            if not all(within):
+                held = _drawn(rows, flat, spans, [pool * m for m in want], rng)
+                within = _by_span(held, spans, place_of)
+            pivots = []
+            for some, m in zip(within, want, strict=True):
+                take = min(len(some), 1 if samples == 1 else samples * m)
+                pivots += [some[k] for k in rng.permutation(len(some))[:take]]
+            if not pivots:
+                continue
+            pivots = sorted(set(pivots), key=place_of)
+            done.rounds, done.pivots = done.rounds + 1, done.pivots + len(pivots)
+            for (first, after), at in zip(_ranks(rows, flat, pivots), pivots, strict=True):
                 for w in open_:
-                    if (w.left, w.right) == ((a, at), (b, end)):
-                        w.left = w.right = (w.target, rest[w.target - a])
-                rest = rest[b - a :]
-            break
-        want = max(1, samples) * len(spans)
-        share = min(1.0, max(5.0 * want, 32) / left)
-        drawn = rows.filter(inside)
-        drawn = drawn if share >= 1 else drawn.filter(F.rand(seed + 1000 * k) < share)
-        picked = [tuple(r) for r in drawn.orderBy(F.rand(seed + 1000 * k + 1)).limit(max(2 * want, 64)).collect()] if share < 1 else [tuple(r) for r in drawn.collect()]
-        if not picked:
-            continue
-        order = rows.sparkSession.createDataFrame(picked, rows.schema).distinct().orderBy(*flat.orderings())
-        cuts = [tuple(r) for r in order.collect()]
-        ranks = _ranks(rows, flat, cuts)
-        for w in found:
-            for rank, at in zip(ranks, cuts, strict=True):
-                if w.left[0] <= rank <= w.target:
-                    w.left = (rank, at)
-                if w.target <= rank < w.right[0] or (rank == w.target):
-                    w.right = min(w.right, (rank, at), key=lambda x: x[0])
-    out = []
-    for w in found:
-        if w.target >= n:
-            out.append(Cut(n, None))
-            continue
-        rank, at = w.nearest if w.settled else w.left
-        if at is None and rank < n:
-            if first is None:
-                head = rows.orderBy(*flat.orderings()).limit(1).collect()
-                first = tuple(head[0]) if head else None
-            at = first
-        out.append(Cut(rank, at if rank < n else None))
-    rows.unpersist()
-    return out
-
-
-def _inside(flat: SortSpec, spans: Sequence[tuple]) -> object:
-    out = F.lit(False)
-    for (_, a), (_, b) in spans:
-        part = F.lit(True) if a is None else ~flat.before(a)
-        out = out | (part & (F.lit(True) if b is None else flat.before(b)))
+                    w.learn(first, after, at)
+        if any(not w.settled for w in found):
+            raise RuntimeError(f"cuts not within {slack} of their ranks after {rounds} rounds")
+        first = None
+        out = []
+        for w in [Window_(t, t, t, (n, None), (n, None)) if t >= n else next(f for f in found if f.target == t) for t in targets]:
+            rank, at = w.nearest
+            if at is None and rank < n:
+                first = first or tuple(rows.orderBy(*flat.orderings()).first())[:-1]
+                at = first
+            out.append(Cut(rank, at if rank < n else None))
+        return out
+    finally:
+        rows.unpersist()
+
+
+def _edges(spans: Sequence[tuple]) -> tuple[list[tuple], list[int]]:
+    """Ascending edges of disjoint spans, and which span (-1: none) lies after each number of edges passed."""
+    edges, owner = [], [-1]
+    for k, ((_, a), (_, b)) in enumerate(spans):
+        if a is not None and (not edges or edges[-1] != a):
+            edges.append(a)
+            owner.append(-1)
+        owner[-1] = k
+        if b is not None:
+            edges.append(b)
+            owner.append(-1)
+    return edges, owner
+
+
+def _by_span(held: Sequence[tuple], spans: Sequence[tuple], place_of: object) -> list[list[tuple]]:
+    """The held rows that lie inside each span, without its first row."""
+    edges, owner = _edges(spans)
+    keys, out = [place_of(e) for e in edges], [[] for _ in spans]
+    for row in held:
+        k = owner[bisect_right(keys, place_of(row))]
+        if k >= 0 and row != spans[k][0][1]:
+            out[k].append(row)
     return out
 
 
-def _ranks(rows: DataFrame, flat: SortSpec, cuts: Sequence[tuple]) -> list[int]:
-    """Exact number of rows before each of the sorted cuts: a histogram, summed up."""
-    bucket = flat.passed(cuts)
-    counts = {r.b: r.n for r in rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+def _drawn(rows: DataFrame, flat: SortSpec, spans: Sequence[tuple], wanted: Sequence[int], rng: np.random.Generator) -> list[tuple]:
+    """About as many random rows of each span as wanted: those whose fixed random number
+    lies in a random stretch of a length that fits the span's rows."""
+    edges, owner = _edges(spans)
+    share = [min(1.0, m / max(1, b[0] - a[0])) for (a, b), m in zip(spans, wanted, strict=True)]
+    start = [float(rng.uniform(0, 1 - s)) for s in share]
+    low = [start[k] if k >= 0 else 2.0 for k in owner]
+    high = [(start[k] + share[k] if share[k] < 1 else 2.0) if k >= 0 else 2.0 for k in owner]
+    names = [f"_k{i}" for i in range(len(flat.total))]
+    placed = with_place(rows, flat.total, edges, "_span")
+    inside = (F.col("_r") >= lookup(low, "_span", "double")) & (F.col("_r") < lookup(high, "_span", "double"))
+    return list({tuple(r) for r in placed.filter(inside).select(*names).collect()})
+
+
+def _ranks(rows: DataFrame, flat: SortSpec, cuts: Sequence[tuple]) -> list[tuple[int, int]]:
+    """For each of the sorted cuts, exactly how many rows come before it, and before or at it."""
+    placed = with_place(rows, flat.total, cuts, "_place", same="_same")
+    counts = {(r._place, r._same): r.n for r in placed.groupBy("_place", "_same").agg(F.count("*").alias("n")).collect()}
     out, total = [], 0
     for k in range(len(cuts)):
-        total += counts.get(k, 0)
-        out.append(total)
+        total += counts.get((k, False), 0)
+        equal = counts.get((k + 1, True), 0)
+        out.append((total, total + equal))
+        total += equal
     return out
 
 
-def boundaries(df: DataFrame, spec: SortSpec, groups: int, eps: float = 0.1, samples: int = 5, seed: int = 1, fetch: int = 20_000) -> list[Cut]:
+def boundaries(df: DataFrame, spec: SortSpec, groups: int, eps: float = 0.1, samples: int = 5, seed: int = 1, done: Search | None = None) -> list[Cut]:
     """Cuts between `groups` even groups; each within eps / 2 of a group of its ideal rank.
 
     samples=5: histogram sort with sampling; samples=1: one pivot for each open range.
     """
-    n = df.count()
-    slack = math.floor(eps * n / groups / 2)
-    return multi_select(df, spec, [k * n // groups for k in range(1, groups)], slack, samples, seed, fetch=fetch)
+    plan = lambda n: ([k * n // groups for k in range(1, groups)], math.floor(eps * n / groups / 2))
+    return multi_select(df, spec, plan, 0, samples, seed, done=done)

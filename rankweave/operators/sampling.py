@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rankweave.operators.rank import Ranked
-from rankweave.operators.scan import AT, PID, _carry, partition_counts
+from rankweave.operators.scan import AT, PID, _carry, kept, partition_counts
 from rankweave.plans.levels import multinomial_quota
 
 
 def _numbered(df: DataFrame) -> DataFrame:
     """The rows with their partition and place, persisted so that both stay as they are."""
     place = F.monotonically_increasing_id()
-    return df.withColumn(PID, F.spark_partition_id()).withColumn(AT, place.bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    return kept(df.withColumn(PID, F.spark_partition_id()).withColumn(AT, place.bitwiseAND(F.lit((1 << 33) - 1))))
 
 
 def uniform(df: DataFrame, total: int, seed: int, within: int | None = None) -> DataFrame:
@@ -28,10 +28,12 @@ def uniform(df: DataFrame, total: int, seed: int, within: int | None = None) ->
     counts = partition_counts(rows, PID)
     parts = sorted(counts)
     quota = multinomial_quota([counts[p] for p in parts], total, seed)
-    rng = np.random.Generator(np.random.PCG64(seed + 1))
-    picks = [(int(p), int(x), int(k)) for p, q in zip(parts, quota, strict=True) if q for x, k in zip(*np.unique(rng.integers(0, within or counts[p], q), return_counts=True), strict=True)]
-    table = df.sparkSession.createDataFrame(picks, f"{PID} int, {AT} long, _draws int")
-    drawn = rows.join(F.broadcast(table), [PID, AT])
+    table = df.sparkSession.createDataFrame([(int(p), int(q), within or counts[p]) for p, q in zip(parts, quota, strict=True)], f"{PID} int, _quota int, _size long")
+    # the draws themselves are made in the executors, from one row a partition
+    draws = table.filter("_quota > 0").repartition(PID).select(PID, "_size", F.explode(F.sequence(F.lit(1), "_quota")).alias("_draw"))
+    spot = (F.pmod(F.xxhash64(F.lit(seed), PID, "_draw"), F.lit(1 << 53)).cast("double") / float(1 << 53) * F.col("_size")).cast("long")
+    picks = draws.select(PID, spot.alias(AT)).groupBy(PID, AT).agg(F.count("*").cast("int").alias("_draws"))
+    drawn = rows.join(picks, [PID, AT])
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_draws"))).select(*df.columns)
 
 

@@ -7,7 +7,8 @@ are scanned and added back.  Only that little table is ever in one place.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,7 +32,29 @@ def in_order(df: DataFrame, spec: SortSpec, partitions: int | None = None) -> Da
     n = partitions or default_partitions(df)
     ranged = df.repartitionByRange(n, *spec.orderings()).sortWithinPartitions(*spec.orderings())
     laid = ranged.withColumn(PID, F.spark_partition_id()).withColumn(AT, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
-    return laid.persist(StorageLevel.MEMORY_AND_DISK)
+    return kept(laid)
+
+
+_KEPT: list[list[DataFrame]] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Persist a layout that several jobs rely on; ``layouts`` lets it go."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _KEPT:
+        _KEPT[-1].append(held)
+    return held
+
+
+@contextmanager
+def layouts() -> Iterator[None]:
+    """Layouts persisted inside are released at the end, when their results must have been used."""
+    _KEPT.append([])
+    try:
+        yield
+    finally:
+        for df in _KEPT.pop():
+            df.unpersist()
 
 
 def partition_counts(df: DataFrame, pid: str | None = None) -> dict[int, int]:
@@ -50,7 +73,7 @@ def exclusive(values: dict[int, int]) -> dict[int, int]:
 
 
 def _carry(df: DataFrame, offsets: dict[int, object], name: str, kind: str) -> DataFrame:
-    """Adds each partition's offset as a column; one row a partition is sent to all tasks."""
+    """Adds each partition's offset as a column; one row a partition, never more, is sent to all tasks."""
     table = df.sparkSession.createDataFrame([(int(k), v) for k, v in offsets.items()], f"{PID} int, `{name}` {kind}")
     return df.join(F.broadcast(table), PID, "left")
 

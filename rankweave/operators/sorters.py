@@ -11,26 +11,31 @@ about the partitions' sizes, in how equal keys may spread, and in what they cost
 ``balanced_sort``        exactly even, the first partitions one row more
 ``rank_sort``            blocks of equal size on a power of two of partitions
 ``packed_sort``          left-packed: partitions full up to a given size
-``quick_sort``           a power of two of partitions, range exchange after a shuffle
+``quick_sort``           a power of two of partitions, by one range exchange
 ``one_each``             one row a partition
 ``merge_bitonic``        a decreasing and an increasing run, merged
 ======================  ==========================================================
 
-A single shuffle moves the rows; levels of recursion would only move them again.
+Sorts by cuts and range exchanges move rows once.  Those that place rows by rank
+(balanced, rank, packed) move them twice: into a range layout whose partitions are
+counted, and from there, mostly to a neighbouring place, by rank.  Levels of recursion
+would only move them again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankweave.operators import splitters as S
-from rankweave.operators.exchange import block_pid, bound_pid, cut_pid, even_pid, shuffled, to_partition
+from rankweave.operators.cutsearch import lookup
+from rankweave.operators.exchange import block_pid, even_pid, to_partition, with_bound_pid, with_cut_pid
 from rankweave.operators.merge import reversed_spec
 from rankweave.operators.metrics import SortMetrics
-from rankweave.operators.rank import boundaries, ranked, small_rank
-from rankweave.operators.scan import PID, default_partitions, exclusive, partition_counts
+from rankweave.operators.rank import Search, boundaries, ranked, small_rank
+from rankweave.operators.scan import AT, PID, default_partitions, exclusive, kept, partition_counts
 from rankweave.plans.levels import pow2_at_most, splitter_sizes
 from rankweave.plans.packing import Bucket, cuts, least_capacity
 from rankweave.spec import Key, SortSpec
@@ -44,8 +49,11 @@ def plain_sort(df: DataFrame, spec: SortSpec) -> DataFrame:
 def over_partition_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, eps: float = 0.1, equal_buckets: bool = True, seed: int = 1, metrics: SortMetrics | None = None) -> DataFrame:
     """Many small buckets between sampled splitters, packed under the least capacity.
 
-    With equal buckets the bound of (1 + eps) holds whatever the keys: a bucket of
-    equal keys is cut at exact places.  Without, equal keys stay together.
+    Ties belong to the order, so with ties no bucket holds many equal rows and the bound
+    of (1 + eps) holds whatever the keys.  Without ties, a bucket of equal keys is cut at
+    exact places, in any order of its rows; without equal buckets too, equal keys stay
+    together and may unbalance.  The driver plans over the sizes of buckets, of which
+    there are about 40 a partition.
     """
     p, m = partitions or default_partitions(df), metrics or SortMetrics()
     _, count, samples = splitter_sizes(p, p, eps)
@@ -53,44 +61,45 @@ def over_partition_sort(df: DataFrame, spec: SortSpec, partitions: int | None =
         chosen = S.sampled_splitters(df, spec, samples, count, seed)
     m.add("samples", samples)
     m.add("splitters", len(chosen))
-    rows = df.withColumn("_bucket", S.bucket(spec, chosen, equal_buckets)).withColumn(PID, F.spark_partition_id()).persist()
+    rows = S.with_bucket(df, spec.total, chosen, equal_buckets, "_bucket")
     with m.phase("partition"):
-        sizes = {(r[PID], r["_bucket"]): r.n for r in rows.groupBy(PID, "_bucket").agg(F.count("*").alias("n")).collect()}
-    totals: dict[int, int] = {}
-    for (_, b), n in sizes.items():
-        totals[b] = totals.get(b, 0) + n
+        totals = {r["_bucket"]: r.n for r in rows.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
     order = sorted(totals)
     with m.phase("packing"):
         buckets = [Bucket(totals[b], equal_buckets and b % 2 == 1) for b in order]
         bounds = cuts(buckets, p)
         m.add("capacity", least_capacity(buckets, p))
     begin = exclusive(totals)
-    # only buckets that a bound cuts need the rows' places within them
-    edges = set(bounds)
-    split = [b for b in order if any(begin[b] < e < begin[b] + totals[b] for e in edges)]
-    first: list[tuple[int, int, int]] = []
-    for b in order:
-        at = begin[b]
-        for part in sorted(q for q, c in sizes if c == b):
-            first.append((part, b, at))
-            at += sizes[part, b]
-    table = df.sparkSession.createDataFrame(first, f"{PID} int, _bucket int, _first long")
-    whole, parted = rows.filter(~F.col("_bucket").isin(split)) if split else rows, rows.filter(F.col("_bucket").isin(split)) if split else None
-    placed = whole.join(F.broadcast(table), [PID, "_bucket"]).withColumn("_at", F.col("_first"))
-    if parted is not None:
-        in_part = Window.partitionBy(PID, "_bucket").orderBy(*(spec.orderings()))
-        more = parted.join(F.broadcast(table), [PID, "_bucket"]).withColumn("_at", F.col("_first") + F.row_number().over(in_part) - 1)
-        placed = placed.unionByName(more)
-    placed = placed.withColumn("pid", bound_pid(F.col("_at"), bounds)).drop(PID, "_bucket", "_first", "_at")
+    pid_of = [bisect_right(bounds, begin.get(b, 0)) for b in range(max(totals, default=0) + 1)]
+    split = [b for b in order if bisect_left(bounds, begin[b] + totals[b]) > pid_of[b]]
+    placed = rows.withColumn("pid", lookup(pid_of, "_bucket").cast("int"))
+    if split:
+        placed = placed.filter(~F.col("_bucket").isin(split)).unionByName(_cut_buckets(rows.filter(F.col("_bucket").isin(split)), begin, bounds))
     with m.phase("exchange"):
-        return to_partition(placed, "pid", p, spec)
+        return to_partition(placed.drop("_bucket"), "pid", p, spec)
+
+
+def _cut_buckets(rows: DataFrame, begin: dict[int, int], bounds: list[int]) -> DataFrame:
+    """``pid`` of rows in buckets that bounds cut: a row's position is its bucket's, after that
+    of earlier input partitions, after its own partition's earlier rows of the bucket."""
+    laid = rows.withColumn(PID, F.spark_partition_id()).sortWithinPartitions("_bucket").withColumn(AT, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    laid = kept(laid)
+    # one row for each input partition and cut bucket; joined by what size it turns out to have
+    sizes = laid.groupBy(PID, "_bucket").agg(F.count("*").alias("_n"), F.min(AT).alias("_from"))
+    earlier = F.sum("_n").over(Window.partitionBy("_bucket").orderBy(PID).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_first", F.coalesce(earlier, F.lit(0)) + lookup([begin.get(b, 0) for b in range(max(begin) + 1)], "_bucket")).drop("_n")
+    placed = laid.join(sizes, [PID, "_bucket"]).withColumn("_place", F.col("_first") + F.col(AT) - F.col("_from"))
+    return with_bound_pid(placed, "_place", bounds).drop(PID, AT, "_from", "_first", "_place")
 
 
 def _cut_sort(df: DataFrame, spec: SortSpec, partitions: int | None, eps: float, samples: int, seed: int, metrics: SortMetrics | None) -> DataFrame:
-    p, m = partitions or default_partitions(df), metrics or SortMetrics()
+    p, m, done = partitions or default_partitions(df), metrics or SortMetrics(), Search()
     with m.phase("splitters"):
-        found = boundaries(df, spec, p, eps, samples, seed)
-    return to_partition(df.withColumn("pid", cut_pid(spec, found)), "pid", p, spec)
+        found = boundaries(df, spec, p, eps, samples, seed, done)
+    m.add("rounds", done.rounds)
+    m.add("pivots", done.pivots)
+    with m.phase("exchange"):
+        return to_partition(with_cut_pid(df, spec, found), "pid", p, spec)
 
 
 def histogram_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, eps: float = 0.1, seed: int = 1, metrics: SortMetrics | None = None) -> DataFrame:
@@ -103,11 +112,14 @@ def select_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, ep
     return _cut_sort(df, spec, partitions, eps, 1, seed, metrics)
 
 
-def balanced_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None) -> DataFrame:
+def balanced_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, metrics: SortMetrics | None = None) -> DataFrame:
     """Perfectly balanced: partition i gets n / p rows, one more if i < n % p.  Adds ``rank``."""
-    p = partitions or default_partitions(df)
-    r = ranked(df, spec)
-    return to_partition(r.df.withColumn("pid", even_pid(r.n, p)), "pid", p, spec)
+    p, m = partitions or default_partitions(df), metrics or SortMetrics()
+    with m.phase("partition"):
+        r = ranked(df, spec)
+    m.add("rows", r.n)
+    with m.phase("exchange"):
+        return to_partition(r.df.withColumn("pid", even_pid(r.n, p)), "pid", p, spec)
 
 
 def rank_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None) -> DataFrame:
@@ -130,22 +142,24 @@ def packed_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, si
     return to_partition(r.df.withColumn("pid", block_pid(most)), "pid", p, spec)
 
 
-def quick_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, robust: bool = True, seed: int = 1) -> DataFrame:
+def quick_sort(df: DataFrame, spec: SortSpec, partitions: int | None = None, robust: bool = True, seed: int = 1, metrics: SortMetrics | None = None) -> DataFrame:
     """Range exchange on the largest power of two of partitions.
 
-    Robust: rows are shuffled first and equal keys split by their ties (a random one
-    if the spec has none); otherwise equal keys stay together and may unbalance.
+    Robust: equal keys are split by their ties, or by a random number if the spec has
+    none; otherwise equal keys stay together and may unbalance.  The exchange samples
+    its own input, so rows need no shuffle before it.
     """
-    q = pow2_at_most(partitions or default_partitions(df))
-    if robust:
-        rows = shuffled(df, q, seed)
-        full = spec if spec.ties else SortSpec(spec.keys, (Key("_tie"),))
-        if not spec.ties:
-            rows = rows.withColumn("_tie", F.monotonically_increasing_id())
-        out = rows.repartitionByRange(q, *full.orderings()).sortWithinPartitions(*full.orderings()).drop("_tie")
-    else:
-        out = df.repartitionByRange(q, *spec.key_orderings()).sortWithinPartitions(*spec.orderings())
-    return out.withColumn("pid", F.spark_partition_id())
+    q, m = pow2_at_most(partitions or default_partitions(df)), metrics or SortMetrics()
+    m.add("partitions", q)
+    with m.phase("exchange"):
+        if not robust:
+            out = df.repartitionByRange(q, *spec.key_orderings()).sortWithinPartitions(*spec.orderings())
+        elif spec.ties:
+            out = df.repartitionByRange(q, *spec.orderings()).sortWithinPartitions(*spec.orderings())
+        else:
+            full = SortSpec(spec.keys, (Key("_tie"),))
+            out = df.withColumn("_tie", F.rand(seed)).repartitionByRange(q, *full.orderings()).sortWithinPartitions(*full.orderings()).drop("_tie")
+        return out.withColumn("pid", F.spark_partition_id())
 
 
 def one_each(df: DataFrame, spec: SortSpec) -> DataFrame:
@@ -158,6 +172,7 @@ def merge_bitonic(falling: DataFrame, rising: DataFrame, spec: SortSpec, partiti
     """A decreasing and an increasing run as one sorted sequence, left-packed.
 
     Not increasing: partitions decrease from one to the next, rows within one increase.
+    Any two runs will do: that they are bitonic saves a message-passing merge steps, not this.
     """
     both = falling.unionByName(rising)
     if increasing:
@@ -168,7 +183,10 @@ def merge_bitonic(falling: DataFrame, rising: DataFrame, spec: SortSpec, partiti
 
 @dataclass
 class Sorter:
-    """A reusable sorter: one spec, one number of partitions, metrics of the last run."""
+    """A reusable sorter: one spec, one number of partitions, metrics of the last run.
+
+    It places rows by rank in one step, so its ``depth`` is 1 wherever rows have to move.
+    """
 
     spec: SortSpec
     partitions: int | None = None
@@ -179,7 +197,16 @@ class Sorter:
         """Exactly balanced order."""
         self.metrics = SortMetrics()
         with self.metrics.phase("total"):
-            return balanced_sort(df, self.spec, self.partitions)
+            return balanced_sort(df, self.spec, self.partitions, self.metrics)
+
+    @property
+    def timers(self) -> dict[str, float]:
+        """Seconds of each phase of the last run, as far as it has run on the driver."""
+        return dict(self.metrics.seconds)
+
+    @property
+    def depth(self) -> int:
+        return int((self.partitions or 2) > 1)
 
     def sort_range(self, df: DataFrame, first: int, count: int) -> DataFrame:
         """Rows of ranks [first, first + count), evenly over the partitions."""

@@ -148,7 +148,8 @@ def bitonic_sequence_orders(spark, sf_dir):
 
 def _with_rank(sorted_df: DataFrame, spec: SortSpec, *columns: str) -> DataFrame:
     """Ranks read off the partitions of a sorted frame, in which no row moves any more."""
-    laid = sorted_df.withColumn(C.PID, F.col("pid")).withColumn(C.AT, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    laid = sorted_df.withColumn(C.PID, F.col("pid")).withColumn(C.AT, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    laid = C.kept(laid)
     base = C.exclusive(C.partition_counts(laid, C.PID))
     return C._carry(laid, base, "_base", "long").withColumn("rank", F.col("_base") + F.col(C.AT)).select(*columns, "rank")
 
@@ -201,12 +202,12 @@ _Q = [(10.0,), (20.0,), (25.0,), (40.0,)]
 
 @query("select (2 * ((l_quantity > 10)::int + (l_quantity > 20)::int + (l_quantity > 25)::int + (l_quantity > 40)::int) + (l_quantity in (10, 20, 25, 40))::int)::int as bucket, count(*) as cnt from lineitem group by 1")
 def ams_bucket_histogram(spark, sf_dir):
-    return P.histogram(load(spark, sf_dir, "lineitem"), P.bucket(SortSpec.by("l_quantity"), _Q))
+    return P.histogram(P.with_bucket(load(spark, sf_dir, "lineitem"), SortSpec.by("l_quantity").keys, _Q))
 
 
 @query("select ((l_quantity >= 10)::int + (l_quantity >= 20)::int + (l_quantity >= 25)::int + (l_quantity >= 40)::int)::int as bucket, count(*) as cnt from lineitem group by 1")
 def plain_bucket_histogram(spark, sf_dir):
-    return P.histogram(load(spark, sf_dir, "lineitem"), P.bucket(SortSpec.by("l_quantity"), _Q, equal_buckets=False))
+    return P.histogram(P.with_bucket(load(spark, sf_dir, "lineitem"), SortSpec.by("l_quantity").keys, _Q, equal_buckets=False))
 
 
 @query(
@@ -215,7 +216,8 @@ def plain_bucket_histogram(spark, sf_dir):
     " (sum(cnt) over (partition by bucket order by part))::bigint as scan, (sum(cnt) over (partition by bucket))::bigint as total from c"
 )
 def partition_exscan(spark, sf_dir):
-    return P.partition_histogram(load(spark, sf_dir, "orders"), (F.col("o_orderkey") % 8).cast("int"), P.bucket(SortSpec.by("o_orderpriority"), [("2-HIGH",)]))
+    orders = P.with_bucket(load(spark, sf_dir, "orders"), SortSpec.by("o_orderpriority").keys, [("2-HIGH",)])
+    return P.partition_histogram(orders, (F.col("o_orderkey") % 8).cast("int"))
 
 
 @query("select distinct l_discount as value from lineitem")
@@ -273,7 +275,7 @@ def even_split_in_group(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     ranked = R.ranked(orders, SortSpec.by("o_orderstatus", ties=["o_orderkey"])).df
     groups = ranked.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("rank").alias("first")).withColumn("slots", F.lit(3).cast("long"))
-    inner = ranked.join(F.broadcast(groups.select("o_orderstatus", "first")), "o_orderstatus").withColumn("rank", F.col("rank") - F.col("first")).drop("first")
+    inner = ranked.join(groups.select("o_orderstatus", "first"), "o_orderstatus").withColumn("rank", F.col("rank") - F.col("first")).drop("first")
     return X.even_in_group(inner, "o_orderstatus", "rank", groups.select("o_orderstatus", "n", "slots"), "slots", "n")
 
 

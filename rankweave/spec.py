@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-import datetime
-import decimal
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 from pyspark.sql import Column, functions as F
 
-from rankweave.functions import search
-
-
-def literal_sql(value: object) -> str | None:
-    """A constant as SQL text; None for types that have no plain one."""
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, int):
-        return f"{value}L" if -(1 << 63) <= value < 1 << 63 else None
-    if isinstance(value, float):
-        return f"double('{value!r}')"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if "\0" not in value else None
-    if isinstance(value, decimal.Decimal):
-        return f"cast('{value}' as decimal(38, {max(0, -value.as_tuple().exponent)}))"
-    if isinstance(value, datetime.date) and not isinstance(value, datetime.datetime):
-        return f"date'{value.isoformat()}'"
-    return None
-
 
 @dataclass(frozen=True)
 class Key:
@@ -60,12 +38,6 @@ class Key:
     def same(self, value: object) -> Column:
         return F.expr(self.expr).eqNullSafe(F.lit(value))
 
-    def before_sql(self, value: str) -> str:
-        lead = str(self.nulls_lead).lower()
-        if value == "null":
-            return "false" if self.nulls_lead else f"(({self.expr}) is not null)"
-        return f"coalesce(({self.expr}) {'<' if self.ascending else '>'} {value}, {lead})"
-
 
 @dataclass(frozen=True)
 class SortSpec:
@@ -104,30 +76,37 @@ class SortSpec:
             out = key.before(value) | (key.same(value) & out)
         return out
 
-    def passed(self, cuts: Sequence[Sequence[object]], or_same: bool = False, keys_only: bool = False) -> Column:
-        """How many of the ascending `cuts` a row is not before (with `or_same`: is after).
-
-        A binary search over constants, compiled into nested conditions.  It is built
-        as one SQL text where the constants have one, else from columns.
-        """
-        keys = self.keys if keys_only else self.total
-        texts = [[literal_sql(v) for v in cut] for cut in cuts]
-        if any(t is None for cut in texts for t in cut):
-            return search(len(cuts), lambda k: ~self.before(cuts[k], or_same, keys_only))
-
-        def before(k: int) -> str:
-            out = str(or_same).lower()
-            for key, value in reversed(list(zip(keys, texts[k], strict=True))):
-                out = f"({key.before_sql(value)} or (({key.expr}) <=> {value} and {out}))"
-            return out
-
-        def nested(low: int, high: int) -> str:
-            if low >= high:
-                return str(low)
-            mid = (low + high) // 2
-            return f"case when {before(mid)} then {nested(low, mid)} else {nested(mid + 1, high)} end"
-
-        return F.expr(nested(0, len(cuts)))
+    def flat(self) -> SortSpec:
+        """The same order over the columns that ``values`` gives."""
+        names = iter(range(len(self.total)))
+        turn = lambda ks: tuple(Key(f"_k{next(names)}", k.ascending, k.nulls_first) for k in ks)
+        return SortSpec(turn(self.keys), turn(self.ties))
+
+    def sort_key(self) -> Callable[[Sequence[object]], object]:
+        """Key function that puts tuples of values on the driver in this order."""
+
+        def compare(a: Sequence[object], b: Sequence[object]) -> int:
+            for key, x, y in zip(self.total, a, b, strict=False):
+                if x is None or y is None:
+                    side = 0 if x is y else -1 if (x is None) == key.nulls_lead else 1
+                else:
+                    side = _compare(x, y) * (1 if key.ascending else -1)
+                if side:
+                    return side
+            return 0
+
+        return cmp_to_key(compare)
+
+
+def _compare(x: object, y: object) -> int:
+    """Order of two values of one type: NaN is the greatest, null the least within structs."""
+    if x is None or y is None:
+        return (x is not None) - (y is not None)
+    if isinstance(x, (tuple, list)):
+        return next((c for c in map(_compare, x, y) if c), len(x) - len(y))
+    if x != x or y != y:
+        return (x != x) - (y != y)
+    return (x > y) - (x < y)
 
 
 def _parse(text: str) -> Key:

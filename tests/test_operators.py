@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from rankweave.operators import scan as C
 from rankweave.operators import sorters as S
 from rankweave.operators import splitters as P
 from rankweave.operators import verify as V
+from rankweave.operators.cutsearch import with_place
 from rankweave.spec import SortSpec
 
 SPEC = SortSpec.by("key", ties=["id"])
@@ -70,10 +72,52 @@ def test_bounded_sorts(spark, keys):
 
 def test_whole_buckets_keep_equal_keys_together(spark):
     df = frame(spark, [1] * 50 + [2] * 50 + [3] * 5)
-    out = S.over_partition_sort(df, SPEC, 4, equal_buckets=False)
+    out = S.over_partition_sort(df, SortSpec.by("key"), 4, equal_buckets=False)
     assert out.select("key", "pid").distinct().groupBy("key").count().filter("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("keys", CASES)
+def test_equal_keys_without_ties_are_cut_at_exact_places(spark, keys):
+    df, spec = frame(spark, keys), SortSpec.by("key")
+    out = S.over_partition_sort(df, spec, 4).cache()
+    assert V.is_sorted(out, spec) and V.nothing_lost(df, out)
+    assert max(V.loads(out, 4)) <= math.ceil(1.10 * math.ceil(len(keys) / 4)) + 1
+    out.unpersist()
+
+
+def test_cut_search(spark):
+    """Places among cuts agree with counting, for nulls, NaN, both directions, several keys and types."""
+    rng = random.Random(2)
+    values = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.5, 1.0, 2.5]
+    rows = [(rng.choice(values), rng.choice([None, "a", "b'\\", "\u00e9"]), k) for k in range(120)]
+    df = spark.createDataFrame(rows, "x double, s string, id long")
+    for spec in (SortSpec.by("x", "s desc", ties=["id"]), SortSpec.by("x desc", "s"), SortSpec.by("s")):
+        place_of = spec.sort_key()
+        keys = {r.id: tuple(r)[1:] for r in df.select("id", *spec.values()).collect()}
+        for n in (0, 1, 2, 6, 7, 8, 40):
+            cuts = sorted(rng.sample(list(keys.values()), n), key=place_of)
+            cuts = [c for k, c in enumerate(cuts) if not k or place_of(cuts[k - 1]) < place_of(c)]
+            for r in with_place(df, spec.total, cuts, "n", same="same").collect():
+                at = place_of(keys[r.id])
+                assert r.n == sum(place_of(c) <= at for c in cuts)
+                assert r.same == any(not place_of(c) < at and not at < place_of(c) for c in cuts)
+    kinds = df.filter("id < 50").select("id", F.timestamp_micros(F.col("id") * 1_000_003).alias("t"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"), (F.col("id") / 7).cast("decimal(20,4)").alias("m"), F.col("id").cast("string").cast("binary").alias("b"))
+    for name in "tdmb":
+        cut = kinds.orderBy(name).select(name).collect()[20][0]
+        placed = with_place(kinds, SortSpec.by(name).keys, [(cut,)], "n", same="same")
+        assert placed.filter("same").count() == 1 and placed.filter("n = 0").count() == 20
+
+
+def test_many_cuts_stay_small_plans(spark):
+    """Twenty thousand cuts in fifteen steps; filters stay above the search."""
+    cuts = [(k,) for k in range(20_000)]
+    df = with_place(spark.range(0, 20_000, 7), SortSpec.by("id").keys, cuts, "n")
+    assert df.filter("n = id + 1").count() == len(range(0, 20_000, 7))
+    rows = S.over_partition_sort(spark.range(3000).select(F.hash("id").alias("key"), "id"), SPEC, 100).collect()
+    assert [r.id for r in rows] == [r.id for r in sorted(rows, key=lambda r: (r.key, r.id))]
+    assert max(Counter(r.pid for r in rows).values()) <= 33
+
+
 @pytest.mark.parametrize("keys", CASES)
 def test_power_of_two_and_packed(spark, keys):
     df = frame(spark, keys)
@@ -113,12 +157,28 @@ def test_struct_string_and_timestamp_keys(spark):
 
 
 @pytest.mark.parametrize("samples", [1, 5])
-@pytest.mark.parametrize("fetch", [0, 12, 1000])
-def test_exact_cuts_with_ties(spark, samples, fetch):
-    keys = [1] * 40 + [2] * 3 + [5] * 57
-    cuts = R.boundaries(frame(spark, keys), SPEC, 5, eps=0.0, samples=samples, fetch=fetch)
-    assert [c.rank for c in cuts] == [20, 40, 60, 80]
-    assert [c.at for c in cuts] == [(keys[r], r) for r in (20, 40, 60, 80)]
+@pytest.mark.parametrize("pool", [1, 32])
+def test_exact_cuts_with_ties(spark, samples, pool):
+    keys, done = [1] * 40 + [2] * 3 + [5] * 57, R.Search()
+    cuts = R.multi_select(frame(spark, keys), SPEC, [20, 40, 60, 80, 100], samples=samples, pool=pool, done=done)
+    assert [c.rank for c in cuts] == [20, 40, 60, 80, 100] and done.rounds > 0
+    assert [c.at for c in cuts] == [*[(keys[r], r) for r in (20, 40, 60, 80)], None]
+
+
+@pytest.mark.parametrize("samples", [1, 5])
+def test_cuts_stay_within_their_slack_or_raise(spark, samples):
+    df, done = frame(spark, [k * 7919 % 1000 for k in range(1000)]), R.Search()
+    cuts = R.boundaries(df, SPEC, 8, eps=0.1, samples=samples, done=done)
+    assert all(abs(c.rank - 125 * (k + 1)) <= 6 for k, c in enumerate(cuts)) and done.rounds > 0
+    if samples == 1:
+        assert done.pivots <= 7 * done.rounds
+    with pytest.raises(RuntimeError):
+        R.multi_select(df, SPEC, [10, 500], samples=1, rounds=1)
+
+
+def test_equal_keys_without_ties_give_the_cut_before_them(spark):
+    cuts = R.multi_select(frame(spark, [1] * 40 + [2] * 3 + [5] * 57), SortSpec.by("key"), [20, 41, 60])
+    assert [(c.rank, c.at) for c in cuts] == [(0, (1,)), (40, (2,)), (43, (5,))]
 
 
 def test_bitonic(spark):
@@ -150,9 +210,9 @@ def test_running_total_with_nulls(spark):
 def test_splitters_and_buckets(spark):
     assert P.splitter_ranks(16, 3) == [4, 8, 12]
     df = frame(spark, [1, 2, 2, 3, 9])
-    got = {r.bucket: r.cnt for r in P.histogram(df, P.bucket(SortSpec.by("key"), [(2,), (3,)])).collect()}
+    got = {r.bucket: r.cnt for r in P.histogram(P.with_bucket(df, SortSpec.by("key").keys, [(2,), (3,)])).collect()}
     assert got == {0: 1, 1: 2, 3: 1, 4: 1}
-    assert {r.b for r in df.select(P.bucket(SortSpec.by("key"), []).alias("b")).collect()} == {0}
+    assert {r.bucket for r in P.with_bucket(df, SortSpec.by("key").keys, []).collect()} == {0}
     assert [r.value for r in P.distinct_splitters(df.select(F.col("key").alias("value"))).orderBy("value").collect()] == [1, 2, 3, 9]
 
 
@@ -173,7 +233,18 @@ def test_reusable_sorter_and_metrics(spark):
     sorter = S.Sorter(SPEC, 4)
     assert V.loads(sorter.sort(df), 4) == [13, 13, 12, 12]
     assert [r.key for r in sorter.sort_range(df, 10, 8).orderBy("rank").collect()] == list(range(10, 18))
-    assert {"total", "range"} <= set(sorter.metrics.seconds)
+    assert {"total", "range"} <= set(sorter.timers) and sorter.depth == 1
+    told = S.SortMetrics()
+    S.quick_sort(df, SPEC, 4, metrics=told), S.balanced_sort(df, SPEC, 4, metrics=told), S.histogram_sort(df, SPEC, 4, metrics=told)
+    assert {"exchange", "partition", "splitters"} <= set(told.seconds) and told.counts["rounds"] > 0
+
+
+def test_layouts_are_released(spark):
+    spark.catalog.clearCache()
+    with C.layouts():
+        assert R.global_rank(frame(spark, [3, 1, 2]), SPEC).count() == 3
+        assert spark.sparkContext._jsc.getPersistentRDDs()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
 def test_exchanges(spark):
