@@ -4,25 +4,29 @@ Large-star hangs every greater neighbour of a node on the node's least neighbour
 small-star the node and its lesser neighbours; both keep connectivity, and repeated
 they turn every component into one star around its least node.  Each round is
 written to the shared folder, so no plan grows and lost executors cost one round.
+A node with very many neighbours is dealt to many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rankweave.llm.skew import join_spread
 from rankweave.llm.storage import written
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+    table = least.select("a", F.least("a", "m").alias("m"))
+    greater = both.filter(F.col("b") > F.col("a"))
+    return join_spread(greater, table, "a", least, n, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, n: int) -> DataFrame:
     # links point from the greater node a to the lesser node b
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    joined = links.join(least, "a")
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = join_spread(links, least.drop("n"), "a", least, n, "b")
     out = joined.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -31,12 +35,12 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (least node of its component) for every node of the links (a, b)."""
     stars = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     stars = written(stars, "links")
-    state = None
+    state, n = None, stars.count()
     while True:
-        stars = written(_small_star(_large_star(stars)), "stars")
+        stars = written(_small_star(_large_star(stars, n), n), "stars")
         now = stars.agg(F.count("*").alias("n"), F.sum((F.xxhash64("a", "b") % 1_000_000_007).cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == state:
             break
-        state = (now.n, now.h)
+        state, n = (now.n, now.h), now.n
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)

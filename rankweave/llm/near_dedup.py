@@ -3,19 +3,23 @@
 A document's set holds its distinct 5-word shingles (lower-case A-Z).  Documents
 with equal sets form one class, and only classes are compared.
 
-* Signature: the hash range is cut into bins, and the least shingle hash of each
-  bin is kept.  Empty bins are filled by optimal densification: bin i borrows
-  from bins drawn from a hash of (i, attempt), the same for all sets, until it
-  meets a full one.  Sets too small for their bins to be independent get as many
-  permutations with one bin each instead.  Near the border sets get both.
-* Bands: signatures are cut into bands of ``ROWS`` values; the number of bands
-  follows from the threshold, so that a pair at the threshold shares none with a
-  probability of at most ``MISS``.
+* Signature: one permutation of the shingle hashes for each band, cut into ``ROWS``
+  bins; the least hash of each bin is kept.  Empty bins are filled by optimal
+  densification: bin i borrows from bins drawn from a hash of (i, attempt), the same
+  for all sets, until it meets a full one.  With so few bins for each permutation, and
+  permutations that are independent, this holds for sets of any size.
+* Bands: the number of bands follows from the threshold, so that a pair at the
+  threshold shares none with a probability of at most ``MISS``.
 * Stars: each bucket links its members to one centre instead of pairwise.  Every
   candidate is confirmed on the full sets.  A star may miss a pair of its leaves
   only if they lie in different components.  Buckets that still hold several
-  components are settled in blocks: the full sets of all members meet in tasks of
-  bounded size, which emit no pairs but the links that join components.
+  components get ``CENTRES`` more centres, which settles those of at most one member more.
+* What is left of larger mixed buckets is settled exactly: the full sets of the
+  members that were no centre meet in tasks bounded in bytes, which emit only links
+  that join components.
+
+Hot classes, buckets and centres are dealt to many tasks; no step depends on how
+large a group is but in the number of tasks it takes.
 
 Defined results: null, empty and blank texts have empty sets and are linked with
 nothing; fewer than five words make one shingle of the whole sequence; rows of one
@@ -35,11 +39,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rankweave.llm import kernels as K
 from rankweave.llm.components import components
+from rankweave.llm.skew import join_spread
 from rankweave.llm.storage import written
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-7
-#: Members of a block, and of a cluster that is cut into blocks as a whole.
-BLOCK, CLUSTER = 512, 20_000
+#: More centres of a bucket that mixes components; bytes of full sets in a block of what is left.
+CENTRES, BLOCK_BYTES = 8, 8 << 20
 
 
 def band_count(percent: int) -> int:
@@ -67,45 +72,42 @@ class Signer:
 
     def __init__(self, percent: int) -> None:
         self.bands = band_count(percent)
-        self.k = self.bands * ROWS
-        self.small = 4 * self.k  # sets up to here: one bin a permutation
-        self.binned = self.small * percent // 100  # sets from here: one permutation of k bins
         rng = np.random.Generator(np.random.PCG64(11))
-        self.odd = rng.integers(0, 2**63, self.k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.borrow = rng.integers(0, self.k, (64, self.k))
+        self.odd = rng.integers(0, 2**63, self.bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 2**64, self.bands, dtype=np.uint64)
+        self.borrow = rng.integers(0, ROWS, (self.bands, 64, ROWS))
         self.weights = rng.integers(0, 2**63, (self.bands, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def one_permutation(self, found: np.ndarray) -> np.ndarray:
-        """Least hash of each bin, empty bins densified."""
-        edge = (np.arange(1, self.k) * (2**64 / self.k)).astype(np.uint64)
-        first = np.concatenate(([0], np.searchsorted(found, edge)))
-        full = np.diff(np.append(first, len(found))) > 0
-        out = found[np.minimum(first, len(found) - 1)]
-        empty = np.flatnonzero(~full)
-        for attempt in self.borrow:
-            if not len(empty):
-                return out
-            source = attempt[empty]
-            good = full[source]
-            out[empty[good]] = out[source[good]]
-            empty = empty[~good]
-        out[empty] = found[0]
+        self.edges = [np.uint64(k * 2**64 // ROWS) for k in range(ROWS)]
+        self.wide = [np.uint64((k + 1) * 2**64 // ROWS - k * 2**64 // ROWS) for k in range(ROWS)]
+
+    def minima(self, elements: np.ndarray, first: np.ndarray, band: int) -> np.ndarray:
+        """Least hash of each bin for the (not empty) sets that begin at `first`, empty bins densified."""
+        h = elements * self.odd[band] + self.add[band]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        out, full = np.empty((ROWS, len(first)), np.uint64), np.empty((ROWS, len(first)), bool)
+        for k in range(ROWS):  # the first hash at or after the bin's lower edge, around the circle
+            above = np.minimum.reduceat(h - self.edges[k], first)
+            full[k] = above < self.wide[k]
+            out[k] = above + self.edges[k]
+        empty = ~full
+        for attempt in self.borrow[band]:
+            if not empty.any():
+                break
+            for k in range(ROWS):
+                take = empty[k] & full[attempt[k]]
+                out[k][take] = out[attempt[k]][take]
+                empty[k] &= ~take
         return out
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        parts = []
-        if not len(found):
-            return np.zeros(0, np.int64)
-        if len(found) <= self.small:
-            parts.append((found[None, :] * self.odd[:, None]).min(1))
-        if len(found) >= self.binned:
-            parts.append(self.one_permutation(found))
-        out = []
-        for k, values in enumerate(parts):
-            mixed = (K.mix64(values).reshape(self.bands, ROWS) * self.weights).sum(1, dtype=np.uint64)
-            scheme = np.uint64(1 + (len(found) >= self.binned and k == len(parts) - 1))
-            out.append(K.mix64(mixed + np.arange(self.bands, dtype=np.uint64) * np.uint64(64) + scheme))
-        return np.unique(np.concatenate(out)).view(np.int64)
+    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row of band keys for each set, none of them empty."""
+        first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+        elements = np.concatenate(sets)
+        out = np.empty((len(sets), self.bands), np.uint64)
+        for band in range(self.bands):
+            out[:, band] = (self.minima(elements, first, band) * self.weights[band][:, None]).sum(0, dtype=np.uint64) + np.uint64(band)
+        return K.mix64(out).view(np.int64)
 
 
 def _set_name(found: np.ndarray) -> bytes:
@@ -117,18 +119,6 @@ def _set_name(found: np.ndarray) -> bytes:
     return K.mix64(np.array([a, b])).tobytes()
 
 
-def _five_bytes(found: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash; enough to tell the elements of two sets apart."""
-    return np.ascontiguousarray(found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from_five(raw: bytes) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(five), 8), np.uint8)
-    wide[:, 3:] = five
-    return wide.view(">u8").reshape(-1).astype(np.int64)
-
-
 def signatures(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
     """doc_id, n_shingles, class (names the set; empty for an empty set), keys (of its bands);
     and the column _digest of `docs` as digest, if asked for."""
@@ -140,9 +130,10 @@ def signatures(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame
             data, offs = K.text_column(batch.column(1))
             for a, b in K.slices(data, offs):
                 sets = list(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
-                keys = [signer.keys(s) for s in sets]
-                at = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keys)))
+                real = [s for s in sets if len(s)]
+                keys = signer.keys(real).reshape(-1) if real else np.zeros(0, np.int64)
+                at = np.concatenate(([0], np.cumsum([signer.bands * (len(s) > 0) for s in sets])))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_name, sets), pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays([*columns, *[c.slice(a, b - a) for c in batch.columns[2:]]], names)
 
@@ -158,7 +149,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             data, offs = K.text_column(batch.column(0))
             for a, b in K.slices(data, offs):
                 sets = list(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
-                yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, sets), pa.binary()), pa.array(map(_five_bytes, sets), pa.binary())], ["class", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "elements"])
 
     # by merge at any size: the list of wanted documents has no bound that would let all tasks have it
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
@@ -167,24 +158,26 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes with 100 * intersection >= percent * union."""
+    """Those distinct pairs (a, b) of classes with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, held, right = [], None, None
             for k in range(batch.num_rows):
-                left = _from_five(batch.column(2)[k].as_py())
+                left = np.frombuffer(batch.column(2)[k].as_py(), np.uint64)
                 name = batch.column(1)[k].as_py()
                 if name != held:
-                    held, right = name, _from_five(batch.column(3)[k].as_py())
+                    held, right = name, np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * both >= percent * (len(left) + len(right) - both):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    one = sets.select(F.col("class").alias("a"), F.col("elements").alias("left"))
-    two = sets.select(F.col("class").alias("b"), F.col("elements").alias("right"))
-    given = pairs.join(one, "a").join(two, "b")
+    pairs = written(pairs, "pairs")
+    total, given = pairs.count(), pairs
+    for node, column in (("a", "left"), ("b", "right")):
+        table = sets.select(F.col("class").alias(node), F.col("elements").alias(column))
+        given = join_spread(given, table, node, pairs.groupBy(node).agg(F.count("*").alias("n")), total, "b" if node == "a" else "a")
     # sizes alone rule many pairs out
     n, m = F.octet_length("left"), F.octet_length("right")
     given = given.filter(F.least(n, m) * 100 >= F.greatest(n, m) * percent)
@@ -199,53 +192,84 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
 def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
     """What link() returns, class, comp (a class that names the component), and digest if asked for."""
     signed = written(signatures(docs, percent, digest), "signatures")
-    full = signed.filter("n_shingles > 0")
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    once = full.join(classes, "class").filter("doc_id = first_id").groupBy("class", "doc_id").agg(F.first("keys").alias("keys"))
-    entries = once.select("class", "doc_id", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("class").alias("centre")).filter("members > 1")
-    buckets = written(entries.join(shared, "key").select("key", "class", "doc_id", "centre"), "buckets")
+    once = signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count("*").alias("n"))
+    once = written(once, "classes")
+    entries = once.filter("doc_id is not null").select("class", "doc_id", F.explode("keys").alias("key"))
+    shared = written(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("centre")).filter("n > 1"), "keys")
+    many = shared.agg(F.sum("n")).first()[0] or 0
+    buckets = join_spread(entries, shared.drop("n"), "key", shared, many, "class").select("key", "class", "doc_id", "centre")
+    buckets = written(buckets, "buckets")
     sets = written(_full_sets(docs, buckets.select("doc_id", "class").distinct()), "sets")
     pairs = buckets.filter(F.col("class") != F.col("centre")).select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(_confirmed(pairs, sets, percent), "links")
-    named = buckets.join(components(links).withColumnRenamed("node", "class"), "class", "left").select("key", "class", "centre", F.coalesce("comp", "class").alias("comp"))
-    named = written(named, "named")
-    mixed = named.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("key")
-    more = written(_within_clusters(named.join(mixed, "key"), sets, percent), "links")
-    comps = written(components(links.unionByName(more)), "components")
-    of_class = classes.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "first_id", F.coalesce("comp", "class").alias("comp"))
-    least = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(least, "comp").select("class", "comp", "component_id")
-    out = signed.drop("keys").join(of_class, "class", "left")
-    component = F.coalesce("component_id", "doc_id")
+    comps = written(components(links), "components")
+    mixed = _mixed(buckets, comps)
+    if mixed is not None:
+        links = written(links.unionByName(_confirmed(_more_stars(mixed), sets, percent)), "links")
+        comps = written(components(links), "components")
+        rest = _mixed(mixed.select("key", "class"), comps)
+        if rest is not None:
+            links = links.unionByName(_settled(rest, sets, percent))
+            comps = written(components(links), "components")
+    of_class = once.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "n", F.col("doc_id").alias("first_id"), F.coalesce("comp", "class").alias("comp"))
+    least = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    of_class = written(join_spread(of_class, least.drop("n"), "comp", least, once.count(), "class").select("class", "n", "comp", "component_id"), "named")
+    out = signed.drop("keys")
+    # rows without shingles stand for themselves and meet nowhere
+    out = join_spread(out.filter("n_shingles > 0"), of_class.drop("n"), "class", of_class, signed.count(), "doc_id", "left").unionByName(
+        out.filter("n_shingles = 0").withColumns({"comp": F.lit(None).cast("binary"), "component_id": F.lit(None).cast("long")})
+    )
+    alone = F.col("doc_id").isNull() | F.col("component_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.withColumns({"component_id": component, "kept": F.coalesce(F.col("doc_id") == component, F.lit(True))})
 
 
-def _within_clusters(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components that buckets still mix (key, class, centre, comp).
-
-    Classes that such buckets connect form a cluster (beyond CLUSTER members: each
-    bucket by itself).  A cluster is cut into blocks of BLOCK members, and each two
-    blocks that hold more than one component meet in one task.
+def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """The members of buckets (key, class) that hold several components, written; with comp, and
+    place: 1 .. CENTRES for those that are centres next, more for the others."""
+    named = buckets.select("key", "class").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    named = written(named, "named")
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").drop("mixed")
+    mixed = written(mixed, "mixed")
+    total = mixed.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    inside = join_spread(named, mixed.select("key"), "key", mixed, total, "class")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("class", "key"))  # each task sends on its first ones only
+    first = inside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRES).select("key", "class", "place")
+    return written(inside.join(first, ["key", "class"], "left").withColumn("place", F.coalesce("place", F.lit(CENTRES + 1))), "mixed")
+
+
+def _more_stars(mixed: DataFrame) -> DataFrame:
+    """Pairs of each mixed bucket's chosen centres with the members of other components."""
+    centres = mixed.filter(F.col("place") <= CENTRES).groupBy("key").agg(F.collect_list(F.struct("class", "comp", "place")).alias("centres"))
+    counts = mixed.groupBy("key").agg(F.count("*").alias("n"))
+    met = join_spread(mixed, centres, "key", counts, mixed.count(), "class")
+    met = met.select("class", "comp", "place", F.explode("centres").alias("c")).filter("comp != c.comp and place > c.place")
+    return met.select(F.greatest("class", "c.class").alias("a"), F.least("class", "c.class").alias("b")).distinct()
+
+
+def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that larger buckets still mix.
+
+    The members that were no centre are cut into blocks of about BLOCK_BYTES of full sets by a
+    hash, and each two blocks of a bucket meet in one task, which emits only links that
+    join components.
     """
-    clusters = components(named.select(F.col("class").alias("a"), F.col("centre").alias("b")))
-    grouped = named.join(clusters.withColumnsRenamed({"node": "class", "comp": "cluster"}), "class")
-    sizes = grouped.groupBy("cluster").agg(F.count_distinct("class").alias("size"))
-    own = F.when(F.col("size") <= CLUSTER, F.struct("cluster", F.lit(None).cast("long").alias("key"))).otherwise(F.struct("cluster", "key"))
-    members = grouped.join(sizes, "cluster").select(own.alias("group"), "class", "comp").distinct()
-    place = F.row_number().over(Window.partitionBy("group").orderBy("comp", "class")) - 1
-    members = written(members.withColumn("block", F.floor(place / BLOCK).cast("int")), "members")
-    blocks = members.groupBy("group", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    one, two = (blocks.select("group", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "ij")
-    meet = one.join(two, "group").filter("block_i <= block_j and not (low_i = high_i and low_i = low_j and low_j = high_j)")
-    meet = meet.select("group", "block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
-    dealt = members.join(meet, ["group", "block"]).join(sets, "class").select("group.cluster", "group.key", "block_i", "block_j", "class", "comp", "elements")
+    left = rest.filter(F.col("place") > CENTRES).join(sets.withColumn("bytes", F.octet_length("elements")), "class")
+    left = left.select("key", "class", "comp", "elements", "bytes")
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
+    sizes = sizes.select("key", "n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = written(sizes, "sizes")
+    spread = join_spread(left.drop("bytes"), sizes.drop("n"), "key", sizes, sizes.agg(F.sum("n")).first()[0] or 0, "class").withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = spread.select("*", other.alias("other")).select("key", "class", "comp", "elements", F.least("block", "other").alias("block_i"), F.greatest("block", "other").alias("block_j"))
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = _block_links(table.column("class").to_pylist(), table.column("comp").to_pylist(), [_from_five(e) for e in table.column("elements").to_pylist()], percent)
+        a, b = _block_links(table.column("class").to_pylist(), table.column("comp").to_pylist(), [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()], percent)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.groupBy("cluster", "key", "block_i", "block_j").applyInArrow(run, "a binary, b binary")
+    return dealt.groupBy("key", "block_i", "block_j").applyInArrow(run, "a binary, b binary")
 
 
 def _block_links(names: list[bytes], comps: list[bytes], sets: list[np.ndarray], percent: int, columns: int = 4096) -> tuple[list[bytes], list[bytes]]:
@@ -261,13 +285,13 @@ def _block_links(names: list[bytes], comps: list[bytes], sets: list[np.ndarray],
     row, column = row[keep], (np.cumsum(often > 1) - 1)[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.int64)
     width = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, width, columns):
         a, b = np.searchsorted(column, [at, at + columns])
         part = np.zeros((len(sets), min(columns, width - at)), np.float32)
         part[row[a:b], column[a:b] - at] = 1
-        both += part @ part.T
+        both += (part @ part.T).astype(np.int64)  # exact: at most `columns`
     union = n[:, None] + n[None, :] - both
     near = np.argwhere(np.triu(100 * both >= percent * union, 1))
     root = {c: c for c in comps}
