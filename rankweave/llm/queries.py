@@ -87,29 +87,29 @@ _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op2_near_dedup"] = f"""
-with recursive w as (
-  select doc_id, {_WORDS.format(_LOWER)} as words from documents
+with recursive w as materialized (
+  select row_number() over () as r, doc_id, {_WORDS.format(_LOWER)} as words from documents
 ), s as (
-  select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as shingle
-  from (select doc_id, words, unnest(range(1, case when len(words) >= 5 then len(words) - 3 else 2 end)) as i from w where len(words) > 0)
+  select distinct r, array_to_string(list_slice(words, i, i + 4), ' ') as shingle
+  from (select r, words, unnest(range(1, case when len(words) >= 5 then len(words) - 3 else 2 end)) as i from w where len(words) > 0)
 ), n as (
-  select doc_id, count(*) as n from s group by doc_id
+  select r, count(*) as n from s group by r
 ), pairs as (
-  select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+  select a.r as a, b.r as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.r < b.r group by 1, 2
 ), links as (
-  select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+  select a, b from pairs join n x on x.r = a join n y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)
 ), ways as (
   select a, b from links union all select b, a from links
-), reached(doc_id, root) as (
-  select doc_id, doc_id from w union select ways.b, reached.root from reached join ways on ways.a = reached.doc_id
+), reached(r, root) as (
+  select r, doc_id from w union select ways.b, reached.root from reached join ways on ways.a = reached.r
 ), least as (
-  select doc_id, min(root) as component_id from reached group by doc_id
+  select r, min(root) as component_id from reached group by r
 )
-select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from least left join n using (doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from w join least using (r) left join n using (r)
 """
 
 ORACLES["op3_substring_dedup"] = f"""
-with w as (
+with w as materialized (
   select row_number() over () as r, doc_id, {_WORDS.format("text")} as words from documents
 ), windows as (
   select r, doc_id, i, list_slice(words, i, i + 12) as passage
@@ -118,11 +118,16 @@ with w as (
   select passage, min(doc_id) as first_id from windows group by passage
 ), gone as (
   select distinct r, i + k as i from windows join firsts using (passage), unnest(range(13)) as t(k) where first_id < doc_id
+), islands as (
+  select r, count(*) as length from (select r, i - row_number() over (partition by r order by i) as island from gone) group by r, island
+), stretches as (
+  select r, count(*) as n_stretches, max(length) as longest from islands group by r
 ), tokens as (
   select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from w where len(words) > 0
 ), kept as (
   select r, count(*) as n, string_agg(word, ' ' order by i) as text from tokens anti join gone using (r, i) group by r
 )
-select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
-from w left join kept using (r)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256,
+  coalesce(n_stretches, 0)::bigint as n_stretches, coalesce(longest, 0)::bigint as longest
+from w left join kept using (r) left join stretches using (r)
 """

@@ -1,15 +1,17 @@
 """Removal of repeated passages by prefix-partitioned suffix trees.
 
 Text is words; a suffix is read for ``DEPTH`` words, so trees are truncated there
-and their deep internal nodes are the passages of that length that repeat.
-Longer maximal repeats are chains of such nodes.
+and their deep internal nodes are the passages of that length that repeat.  A longer
+maximal repeat is a chain of such nodes, one for each of its suffixes: neighbouring
+passages of a document that all lie below deep nodes are put together into one stretch.
 
 1. Each block of documents asks which of its passages occur anywhere else, by a
    short fingerprint of each distinct one.  Suffixes whose first ``DEPTH`` words
    are unique cannot lie below a deep node and go no further.
 2. The remaining suffixes are dealt out by prefix.  Prefixes have as many words as
    it takes for a group to fit in memory: groups are ranges between quantiles of
-   the suffixes' first eight words.
+   the suffixes' first eight words, as many as the number of suffixes wants; where one
+   prefix of eight words fills several of them, they part it by all ``DEPTH`` words.
 3. Each group sorts its suffixes, takes the lengths of common prefixes of
    neighbours, and so has its subtree; for each deep node it finds the smallest
    doc_id below it, and tells each block which of its suffixes have a smaller one.
@@ -27,6 +29,7 @@ words are compared unchanged; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import compress as choose
 
@@ -36,12 +39,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from rankweave.llm import kernels as K
-from rankweave.llm.blocks import Blocks, answered, cut, doc_ids, from_rows, to_rows
+from rankweave.llm.blocks import Blocks, answered, doc_ids, from_rows, runs, shard_of, to_rows
 from rankweave.llm.storage import written
 
 DEPTH = 13
-#: Suffixes that one shard or one group of prefixes is meant to hold, and quantiles groups are cut at.
-GROUP, CUTS = 1_500_000, 512
+#: Suffixes that one shard or one group of prefixes is meant to hold.
+GROUP = 1_500_000
 _SIGN = np.uint64(1 << 63)
 
 
@@ -132,22 +135,34 @@ def _subtree(blobs: list[bytes]) -> list[bytes]:
     return [np.packbits(bits[end - len(p[0]) : end]).tobytes() for end, p in zip(ends, parts, strict=True)]
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns in `keep` (doc_id first), n_words, n_removed, kept_sha256; with
-    `with_text` also the kept words joined by one space, as ``text`` (null stays null)."""
+def group_of(head: np.ndarray, tail: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Group of each suffix between ascending edges; a first half that is several edges is
+    parted among their groups by the other half."""
+    low, high = np.searchsorted(edges, head, "left"), np.searchsorted(edges, head, "right")
+    return low + (K.mix64(tail) % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
+
+
+def stretches(removed: np.ndarray) -> tuple[int, int]:
+    """How many stretches of removed words there are, and the length of the longest."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], removed.view(np.int8), [0]))))
+    return len(edge) // 2, int((edge[1::2] - edge[::2]).max(initial=0))
+
+
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, group: int = GROUP, block_bytes: int | None = None) -> DataFrame:
+    """The columns in `keep` (doc_id first), n_words, n_removed, kept_sha256, and of the
+    removed stretches (put together from overlapping passages) n_stretches and longest;
+    with `with_text` also the kept words joined by one space, as ``text`` (null stays null).
+    """
     given = docs.select(F.col("doc_id").cast("long"), *[c for c in keep if c != "doc_id"], F.col("text").alias("_text"))
-    blocks = Blocks(given, _describe)
+    blocks = Blocks(given, _describe, block_bytes)
     n = blocks.size()
-    shards = max(8, n // GROUP)
+    shards = max(8, n // group)
     bits = min(64, max(1, n).bit_length() + 16)
 
     def prints(row: dict) -> Iterator[tuple[int, bytes]]:
         _, p, _, _ = _passages(row)
-        ends = cut(p.prints, shards)
-        for s in range(shards):
-            part = p.prints[ends[s] : ends[s + 1]]
-            if len(part):
-                yield s, K.pack(K.deltas(np.unique(part >> np.uint64(64 - bits))))
+        for s, i, j in runs(shard_of(p.prints, shards)):
+            yield s, K.pack(K.deltas(np.unique(p.prints[i:j] >> np.uint64(64 - bits))))
 
     def repeated(_: int, blobs: list[bytes]) -> list[bytes]:
         parts = [np.cumsum(K.unpack(b)[0], dtype=np.uint64) for b in blobs]
@@ -157,30 +172,27 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_te
 
     elsewhere = answered(blocks.ask(prints), repeated, shards)
     elsewhere = written(elsewhere, "elsewhere")
+    wanted = max(8, n // (2 * group))
     marks = blocks.table.select(F.explode("marks").alias("m"))
-    edges = marks.select(F.percentile_approx("m", [k / CUTS for k in range(1, CUTS)], F.lit(20 * CUTS)).alias("q")).first().q or []
-    groups_wanted = max(8, n // (2 * GROUP))
-    take = np.linspace(0, len(edges), min(groups_wanted, len(edges) + 1) + 1).astype(int)[1:-1] if len(edges) else []
-    edges = np.unique(np.array([edges[k] for k in take], np.uint64) << np.uint64(1)) if len(take) else np.zeros(0, np.uint64)
+    edges = marks.select(F.percentile_approx("m", F.from_json(F.lit(json.dumps([k / wanted for k in range(1, wanted)])), "array<double>"), F.lit(min(2**31 - 1, 20 * wanted))).alias("q")).first().q or []
+    edges = np.sort(np.array(edges, np.uint64) << np.uint64(1))
 
     def candidates(row: dict, p: Passages) -> np.ndarray:
         """Distinct passages that other blocks, or several documents of this one, have."""
         flag = p.least != p.most
-        ends = cut(p.prints, shards)
-        for a in row["answers0"] or []:
-            part = p.prints[ends[a["shard"]] : ends[a["shard"] + 1]] >> np.uint64(64 - bits)
-            short, back = np.unique(part, return_inverse=True)
-            flag[ends[a["shard"]] : ends[a["shard"] + 1]] |= np.unpackbits(np.frombuffer(a["blob"], np.uint8), count=len(short)).astype(bool)[back]
+        told = {a["shard"]: a["blob"] for a in row["answers0"] or []}
+        for s, i, j in runs(shard_of(p.prints, shards)):
+            short, back = np.unique(p.prints[i:j] >> np.uint64(64 - bits), return_inverse=True)
+            flag[i:j] |= np.unpackbits(np.frombuffer(told[s], np.uint8), count=len(short)).astype(bool)[back]
         return np.flatnonzero(flag)
 
     def dealt(p: Passages, some: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Group of prefixes, and its suffixes in order."""
         head, tail = p.strings(some)
-        order = np.lexsort((tail, head))
-        ends = np.searchsorted(head[order], edges, "left")
-        for g, (a, b) in enumerate(zip([0, *ends], [*ends, len(order)], strict=True)):
-            if b > a:
-                yield g, some[order[a:b]], head[order[a:b]], tail[order[a:b]]
+        g = group_of(head, tail, edges)
+        order = np.lexsort((tail, head, g))
+        for k, a, b in runs(g[order]):
+            yield k, some[order[a:b]], head[order[a:b]], tail[order[a:b]]
 
     def suffixes(row: dict) -> Iterator[tuple[int, bytes]]:
         _, p, _, _ = _passages(row)
@@ -189,9 +201,9 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_te
             low = least.min()
             yield g, K.pack_all(K.deltas(head), tail, p.prints[some] & np.uint64(0xFFFFFFFFFF), least - low, np.array([low]))
 
-    smaller = answered(blocks.ask(suffixes, elsewhere), lambda _, blobs: _subtree(blobs), max(8, len(edges) + 1))
+    smaller = answered(blocks.ask(suffixes, elsewhere), lambda _, blobs: _subtree(blobs), len(edges) + 1)
     fields = [f for f in given.schema if f.name != "_text"]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *([T.StructField("text", T.StringType())] if with_text else [])])
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_stretches", "longest")], *([T.StructField("text", T.StringType())] if with_text else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,16 +222,18 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_te
         np.add.at(change, p.at[hit] + DEPTH, -1)
         stays = np.cumsum(change[:-1]) == 0
         raw, ends = data.tobytes(), np.cumsum(p.counts)
-        digests, texts, removed = [], [], []
+        digests, texts, removed, parts = [], [], [], []
         for i, (end, n) in enumerate(zip(ends, p.counts, strict=True)):
             mask = stays[end - n : end]
             words = raw[offs[i] : offs[i + 1]].split()
             removed.append(int(n - mask.sum()))
+            parts.append(stretches(~mask))
             kept = b" ".join(choose(words, mask.tolist()) if removed[-1] else words)
             digests.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 texts.append(kept.decode())
         columns = [rows.column(k) for k in range(rows.num_columns - 1)] + [pa.array(p.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+        columns += [pa.array([x[k] for x in parts], pa.int64()) for k in (0, 1)]
         if with_text:
             null = rows.column(rows.num_columns - 1).is_null().to_numpy(zero_copy_only=False)
             columns.append(pa.array(texts, pa.string(), mask=null))
