@@ -13,11 +13,23 @@ complete encoding continues one of the encodings of the last ``lookahead``
 prefixes.  What all of those share is final, and is emitted.  The transducer
 therefore holds a window of the text and never the text, however long.
 
+Texts are cut into pre-tokens a window of ``WINDOW`` characters at a time; those that
+the rest of the text could still change are read again with the next window.  A
+pre-token as long as a window - a run of letters without spaces, say - goes
+through the transducer in chunks and is never held as a whole.  So beside the
+text itself memory is bounded by the window, whatever the script.
+
 Decoding looks up the bytes of each id and feeds them to a byte-to-text state
 machine that holds back at most three bytes of an unfinished character.
 
+The vocabulary file must be byte-level BPE with the pattern below and without
+normalizer, prefix space or other options; anything else is refused.
+
 Defined results: a null text encodes as the empty text (no tokens).  Special
 tokens written out in a text are matched first, as the tokenizers library does.
+Every row is encoded by itself: repeated rows and ties give equal rows, an empty
+table an empty one, and columns of `docs` other than text and those in `keep`
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +54,18 @@ _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ANY = regex.compile(rf"{_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+").findall
 _PLAIN = re.compile(rf"{_CONTRACTIONS}| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+").findall
 _SPECIAL_CASE = re.compile(r"[_\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0590-\U0010ffff]").search
+#: The runs that long pre-tokens are made of: after an optional space, or white space.
+_RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_WHITE}\p{{L}}\p{{N}}]+", rf"[{_WHITE}]+")]
+
+#: Characters of a text that are cut into pre-tokens at a time.
+WINDOW = 1 << 18
+
+# Settings of a vocabulary file that this encoder follows.
+_SETTINGS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -55,6 +79,17 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def check_settings(spec: dict) -> None:
+    """Refuse a file that asks for anything but plain byte-level BPE."""
+    for name, want in _SETTINGS.items():
+        have = spec.get(name) or {}
+        if any((have.get(k) or None) != (v or None) for k, v in (want or {"type": None}).items()):
+            raise ValueError(f"the vocabulary's {name} is not that of plain byte-level BPE")
+    for token in spec["added_tokens"]:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with options are not supported")
+
+
 class _Known(dict):
     """Pre-tokens encoded before, in two generations: when the younger is full it takes
     the place of the older, from which what is asked for again moves back."""
@@ -82,6 +117,7 @@ class Bpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
@@ -96,7 +132,8 @@ class Bpe:
         self.lookahead = self._lookahead()
         self._pairs: dict[int, bool] = {}
         self._known = _Known(self._piece, self.CACHE)
-        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).finditer if self.special else None
+        self._lengths = self._lengths_by_end()
 
     def _lookahead(self) -> int:
         """Bytes after which a prefix's tokens are decided: the most that any token the
@@ -109,6 +146,14 @@ class Bpe:
         self.ids = {t: i for t, i in self.ids.items() if i in self.made}
         return max(map(len, self.ids), default=1)
 
+    def _lengths_by_end(self) -> dict[bytes, tuple[int, ...]]:
+        """Lengths, the longest first, of the tokens that end with each two bytes."""
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.ids:
+            if len(token) > 1:
+                lengths.setdefault(token[-2:], {1}).add(len(token))
+        return {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
+
     # -- neighbours
 
     def adjacent(self, left: int, right: int) -> bool:
@@ -139,7 +184,7 @@ class Bpe:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token given as chunks of bytes, each as soon as it is decided."""
-        ids, width = self.ids, self.lookahead
+        ids, width, lengths = self.ids, self.lookahead, self._lengths
         window = b""  # the bytes of the last `lookahead` prefixes
         last: list[int] = [-1]  # last token of each of those prefixes, the oldest first
         start: list[int] = [-1]  # where in the window that token begins
@@ -148,7 +193,10 @@ class Bpe:
             for byte in chunk:
                 window += bytes((byte,))
                 n = len(window)
-                for at in range(max(0, n - width), n):
+                for length in lengths.get(window[-2:], (1,)):
+                    at = n - length
+                    if at < 0:
+                        continue
                     token = ids.get(window[at:])
                     if token is not None and (at + base == 0 or (last[at] >= 0 and self.adjacent(last[at], token))):
                         last.append(token)
@@ -188,10 +236,13 @@ class Bpe:
         get, pairs, adjacent = self.ids.get, self._pairs, self._adjacent
         if len(pairs) > 2_000_000:
             pairs.clear()
-        n = len(raw)
+        n, lengths = len(raw), self._lengths.get
         last, start = [-1] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for at in range(end):
+            for length in lengths(raw[end - 2 : end], (1,)) if end > 1 else (1,):
+                at = end - length
+                if at < 0:
+                    continue
                 token = get(raw[at:end])
                 if token is None:
                     continue
@@ -216,26 +267,52 @@ class Bpe:
         out = [whole] if whole is not None else self._short(raw) if len(raw) <= self.lookahead else list(self.stream((raw,)))
         return ",".join(map(str, out)), b"".join([self.bytes[i] for i in out])
 
-    def _parts(self, text: str) -> Iterator[tuple[bool, str]]:
-        if not self._cut or not any(s in text for s in self.special):
-            yield False, text
-            return
-        for k, part in enumerate(self._cut(text)):
-            if part:
-                yield bool(k % 2), part
-
-    def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        out, known = [], self._known.__getitem__
-        for special, part in self._parts(text):
-            if special:
-                i = self.special[part]
-                out.append((str(i), self.bytes[i]))
-            else:
-                out += map(known, pre_tokens(part))
-        return out
+    def _spans(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(from, to, id) of each special token, and of what lies between (-1)."""
+        at = 0
+        if self._special and any(x in text for x in self.special):
+            for m in self._special(text):
+                if m.start() > at:
+                    yield at, m.start(), -1
+                yield m.start(), m.end(), self.special[m[0]]
+                at = m.end()
+        if at < len(text):
+            yield at, len(text), -1
+
+    def batches(self, text: str, window: int | None = None) -> Iterator[list[tuple[str, bytes]]]:
+        """(ids as text, the bytes they stand for) of the text's pre-tokens, a window at a time."""
+        known, window = self._known.__getitem__, window or WINDOW
+        for at, end, special in self._spans(text):
+            if special >= 0:
+                yield [(str(special), self.bytes[special])]
+                continue
+            while at < end:
+                to = min(end, at + window)
+                pieces = pre_tokens(text[at:to])
+                if to < end:
+                    # only the last can look different with more text behind it, and the one before a short one
+                    del pieces[-1 - (len(pieces[-1]) < 4) :]
+                    if not pieces:
+                        run = _Run(text, at, end, window)
+                        yield from self._streamed(run)
+                        at = run.end
+                        continue
+                if pieces:
+                    yield list(map(known, pieces))
+                at = to if to == end else at + sum(map(len, pieces))
+
+    def _streamed(self, run: _Run) -> Iterator[list[tuple[str, bytes]]]:
+        held: list[int] = []
+        for i in self.stream(run):
+            held.append(i)
+            if len(held) >= 10_000:
+                yield [(",".join(map(str, held)), b"".join([self.bytes[i] for i in held]))]
+                held = []
+        if held:
+            yield [(",".join(map(str, held)), b"".join([self.bytes[i] for i in held]))]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for s, _ in self.pieces(text or "") for i in s.split(",")]
+        return [int(i) for batch in self.batches(text or "") for s, _ in batch for i in s.split(",")]
 
     # -- decoding
 
@@ -244,6 +321,32 @@ class Bpe:
         return "".join([machine.feed(self.bytes.get(i, b"")) for i in ids]) + machine.end()
 
 
+class _Run:
+    """The bytes of the one pre-token that begins at a place and is about as long as a
+    window, in chunks; ``end`` is where it ends, once they are read."""
+
+    def __init__(self, text: str, at: int, end: int, window: int) -> None:
+        self.text, self.at, self.stop, self.window, self.end = text, at, end, window, at
+
+    def __iter__(self) -> Iterator[bytes]:
+        text, at, stop = self.text, self.at, self.stop
+        space = text[at] == " " and _RUNS[3].match(text, at + 1, at + 2) is None
+        run = next(r for r in _RUNS if r.match(text, at + space, stop))
+        white, at, held = run is _RUNS[3], at + space, " " * space
+        while True:
+            m = run.match(text, at, min(stop, at + self.window))
+            if m is None:
+                break
+            part, at = held + m[0], m.end()
+            # white space before something else leaves its last character to that
+            held, part = (part[-1:], part[:-1]) if white else ("", part)
+            yield part.encode("utf-8", "surrogatepass")
+        if held and at == stop:
+            yield held.encode("utf-8", "surrogatepass")
+            held = ""
+        self.end = at - len(held)
+
+
 class Utf8:
     """Incremental byte-to-text machine.
 
@@ -294,10 +397,10 @@ def load(path: str) -> Bpe:
 
 
 def _digest(bpe: Bpe, text: str, ids_out: list[np.ndarray] | None = None) -> tuple[int, str, str]:
-    """Token count and digests of the ids and of the decoded text, a stretch of the text
+    """Token count and digests of the ids and of the decoded text, a window of the text
     at a time; the ids themselves only go to `ids_out` if that is given."""
     n, ids, decoded, machine, first = 0, hashlib.sha256(), hashlib.sha256(), Utf8(), True
-    for part in _spans(bpe, text):
+    for part in bpe.batches(text):
         texts, raw = zip(*part)
         joined = ",".join(texts)
         n += joined.count(",") + 1
@@ -310,27 +413,6 @@ def _digest(bpe: Bpe, text: str, ids_out: list[np.ndarray] | None = None) -> tup
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
-def _spans(bpe: Bpe, text: str, size: int = 1 << 18) -> Iterator[list[tuple[str, bytes]]]:
-    """Pieces of stretches of the text; cut where a letter meets white space that a letter follows."""
-    at, n = 0, len(text)
-    while at < n:
-        to = n
-        if n - at > size:
-            found = _CUT.search(text, at + size)
-            to = found.start() + 1 if found else n
-        part = text[at:to]
-        if part:
-            pieces = bpe.pieces(part)
-            if pieces:
-                yield pieces
-        at = to
-
-
-#: A letter before one space before a letter: pre-tokens always part there, and no
-#: special token of a byte-level vocabulary holds such a space.
-_CUT = re.compile(r"[a-z](?= [a-z])")
-
-
 def encode_columns(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encode and decode each text: n_tokens, ids_sha256, decoded_sha256, beside the
     columns in `keep`; with `with_ids` also the ids (``token_ids``).

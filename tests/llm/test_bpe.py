@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -30,6 +31,35 @@ def test_same_ids_and_text_as_the_library(both):
         assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("window", [12, 17, 50])
+def test_windows_change_nothing(both, window):
+    ours, theirs = both
+    for text in samples()[::3]:
+        ids = [int(i) for batch in ours.batches(text, window) for s, _ in batch for i in s.split(",")]
+        assert ids == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("unit", ["日本語の文章は空白なしで続く", "THE QUICK BROWN FOX ", "ABC", "!?", "  ", "12", "a\u0301"])
+def test_long_texts_without_lower_case_words_stay_in_pieces(both, unit):
+    """No piece is longer than a window, and the ids are the library's."""
+    ours, theirs = both
+    text = "x" + unit * (300_000 // len(unit)) + "end"
+    held = list(ours.batches(text, 20_000))
+    assert max(sum(len(raw) for _, raw in batch) for batch in held) <= 130_000
+    assert [int(i) for batch in held for s, _ in batch for i in s.split(",")] == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_other_kinds_of_files_are_refused():
+    with open(vocabulary_path()) as f:
+        spec = json.load(f)
+    bpe.check_settings(spec)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", None), ("model", spec["model"] | {"byte_fallback": True})):
+        with pytest.raises(ValueError):
+            bpe.check_settings(spec | {key: value})
+    with pytest.raises(ValueError):
+        bpe.check_settings(spec | {"added_tokens": [{"id": 0, "content": "x", "lstrip": True}]})
+
+
 def test_decoding_any_ids(both):
     ours, theirs = both
     rng = random.Random(2)
