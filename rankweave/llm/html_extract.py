@@ -17,13 +17,15 @@ they hold all of the page's text, and else from the lowest container that does.
 On a host whose pages are mostly copies of one page, a container beside the main one
 counts as a box.
 
-Only the winner and the boxes of each host are joined back.  Pages are dealt by host and one of
-``PARTS`` numbers, and each winner to all of them, so a host with a third of all
-pages is spread over that many tasks.
+Only the winner and the boxes of each host are joined back.  Pages are dealt by host, those of a
+host with very many in as many parts as their number wants, and its winner to each part.
 
 Defined results: null html counts as empty; a page without text gives an empty
 string; a null or malformed url counts as one host of its own; broken markup is
-read to the end as far as it goes.
+read to the end as far as it goes.  Every row gives one row, repeated rows equal ones; a
+page is parsed as a whole, so memory is a few times its own size; an empty table gives an
+empty one, and other columns are not read, whatever their names.  Of paths with equal
+votes the one with more text wins, then the greater by name.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rankweave.llm.skew import join_spread
+from rankweave.llm.storage import written
+
 # Elements and class words, by what they are for.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -68,9 +73,6 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _DIGITS = re.compile(r"[0-9]+")
 
-#: Parts that the pages of each host are dealt into.
-PARTS = 64
-
 
 @dataclass(slots=True)
 class Node:
@@ -333,8 +335,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
-    given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"), part.alias("part"))
-    winners = winning_paths(pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    joined = given.join(winners, ["host", "part"], "left").select("page_id", "url", "html", "winner", "boxes")
+    given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
+    winners = written(winning_paths(pages), "winners")
+    counts = given.groupBy("host").agg(F.count("*").alias("n"))
+    joined = join_spread(given, winners, "host", counts, given.count(), "page_id, url", "left").select("page_id", "url", "html", "winner", "boxes")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
