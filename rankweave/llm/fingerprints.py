@@ -12,7 +12,10 @@ hashes from right to left.  The smallest entry of a window is thus found by
 
 Defined results: null and empty texts and texts of white space have no entries;
 fewer than k words make one gram of all words, fewer than w grams one window.
-Two empty fingerprints are alike (1), an empty and another are not (0).
+Two empty fingerprints are alike (1), an empty and another are not (0).  Rows without
+doc_id come after all others; rows of one doc_id, or without one, follow each other in
+order of a hash of their text; a single row is its own next document; an empty table
+gives an empty one, and other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rankweave.llm.mixing import WORDS, _search
+from rankweave.llm.mixing import WORDS, ranges
 from rankweave.llm.storage import written
+from rankweave.operators.cutsearch import with_place
+from rankweave.spec import SortSpec
 
 GRAM, WINDOW = 5, 8
 _PLACE = 26
 _LAST = (1 << _PLACE) - 1
-#: Rows that one cell of neighbouring documents is meant to hold, and quantiles cells are cut at.
-CELL_ROWS, CUTS = 4000, 256
-#: Cells (of 24 bytes each) up to which their list is sent to all tasks; beyond, it is joined by shuffle.
-BROADCAST_CELLS = 200_000
+#: Rows that one cell of neighbouring documents is meant to hold, and the most cells: their
+#: list, of 40 bytes each, goes to all tasks.  Beyond, cells grow, and are sorted on disk.
+CELL_ROWS, CELLS = 4000, 20_000
+#: Bytes of text that one task is meant to get.
+TASK_BYTES = 64 << 20
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -93,46 +99,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def with_next(docs: DataFrame, value: Column) -> DataFrame:
+def with_next(docs: DataFrame, text: Column, value: Column) -> DataFrame:
     """doc_id, v (`value`, a struct) and next_v: that of the next document in descending
     order of doc_id, and of the first after the last.
 
-    Documents are dealt into cells of neighbouring ids; the first document of each cell
-    is also sent to the cell before it, whose last document it follows.
+    Documents are dealt into cells of neighbouring ids, cut at quantiles of the ids; the
+    first document of each cell is also sent to the cell before it, whose last document it
+    follows.  Rows without doc_id are dealt into cells of their own by a hash.
     """
-    n = docs.count()
-    marks = docs.select(F.percentile_approx("doc_id", [k / CUTS for k in range(CUTS + 1)], F.lit(100 * CUTS)).alias("m")).first().m or [0]
-    marks = sorted(set(marks))
-    parts = max(1, -(-n // (CELL_ROWS * CUTS)))
-    lows = [marks[0], *marks]
-    widths = [max(1, -(-(b - a) // parts)) for a, b in zip(lows, [*marks, marks[-1]], strict=True)]
-    step = _search(marks)
-    inner = F.least(F.greatest(F.floor((F.col("doc_id") - F.element_at(F.array(*map(F.lit, lows)), step + 1)) / F.element_at(F.array(*map(F.lit, widths)), step + 1)), F.lit(0)), F.lit(parts - 1))
-    cell = F.coalesce(step * parts + inner, F.lit(-1)).cast("long")
-    ids = docs.select("doc_id", cell.alias("cell"))
-    firsts = ids.groupBy("cell").agg(F.max("doc_id").alias("first_id"))
-    ahead = Window.orderBy(F.col("cell").asc())
-    top = F.max("cell").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1)))
-    bottom = F.min("cell").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1)))
+    seen = docs.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    cuts = ranges(docs, "doc_id", seen.n, CELL_ROWS, CELLS)
+    spare = max(1, min(CELLS, seen.none // CELL_ROWS))
+    given = with_place(docs.select("doc_id", text.alias("_text")), SortSpec.by("doc_id").keys, cuts, "_cell").withColumn("_h", F.xxhash64("_text"))
+    given = given.withColumn("cell", F.when(F.col("doc_id").isNull(), -1 - F.pmod("_h", F.lit(spare))).otherwise(F.col("_cell")).cast("long"))
+    # the first of a cell: greatest id, of these the least hash
+    firsts = given.groupBy("cell").agg(F.max(F.struct("doc_id", (-F.col("_h").cast("decimal(20,0)")).alias("h"))).alias("m"))
+    ahead = Window.orderBy(F.col("cell").asc())  # one row a cell
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy(F.lit(1))
     # the cell above; the first of the topmost cell follows the last of the bottommost
-    firsts = firsts.withColumn("above", F.when(F.col("cell") == top, bottom).otherwise(F.lead("cell").over(ahead)))
-    firsts = written(firsts, "cells")
-    if firsts.count() <= BROADCAST_CELLS:
-        firsts = F.broadcast(firsts)
-    rows = docs.select("doc_id", cell.alias("cell"), value.alias("v")).join(firsts, "cell")
+    above = F.when(F.col("cell") == F.max("cell").over(whole), F.min("cell").over(whole)).otherwise(F.lead("cell").over(ahead))
+    firsts = written(firsts.select("cell", F.col("m.doc_id").alias("first_id"), (-F.col("m.h")).cast("long").alias("first_h"), above.alias("above")), "cells")
+    rows = given.withColumn("v", value).join(F.broadcast(firsts), "cell")
     own = F.struct(F.col("cell").alias("cell"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("above").alias("cell"), F.lit(True).alias("guest"))
-    first = F.coalesce(F.col("doc_id") == F.col("first_id"), F.col("first_id").isNull())
-    rows = rows.select("doc_id", "v", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
-    order = Window.partitionBy("at.cell").orderBy("at.guest", F.col("doc_id").desc(), "v")
-    return rows.withColumn("next_v", F.lead("v").over(order)).filter(~F.col("at.guest")).select("doc_id", "v", "next_v")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("_h") == F.col("first_h"))
+    rows = rows.select("doc_id", "_h", "v", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("at"))
+    rows = rows.select("doc_id", "_h", "v", "at.cell", "at.guest").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(seen.bytes or 0) // TASK_BYTES), "cell")
+    order = Window.partitionBy("cell").orderBy("guest", F.col("doc_id").desc(), "_h")
+    return rows.withColumn("next_v", F.lead("v").over(order)).filter(~F.col("guest")).select("doc_id", "v", "next_v")
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and its likeness to the latter
     and to the next document's."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = with_next(docs, F.struct(text.alias("text"), fingerprint(F.col("text")).alias("fp")))
+    rows = with_next(docs, text, F.struct(F.col("_text").alias("text"), fingerprint(F.col("_text")).alias("fp")))
     n = F.length("v.text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("v.text"), F.lit(1), n - half), F.substring(F.col("next_v.text"), F.lit(1), half))

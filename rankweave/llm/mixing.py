@@ -17,17 +17,26 @@ a third of all rows is spread over many tasks.
 
 Defined results: null text has size 0; null source is a source of its own and
 comes last; a source of size 0 has target 0 and takes nothing; repeated rows
-count each.  Reruns agree: the offset is a digest of seed and source.
+count each; rows without doc_id come first of their size, and rows of one doc_id and size
+are ordered by a hash of their text; an empty table gives an empty one; with ``carry``
+columns of any name are kept in ``row``.  Reruns agree: the offset is a digest of seed
+and source.  The driver gets the ends of the ranges, and the sources' sums meet in one
+task, one row for each source.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankweave.llm.storage import written
+from rankweave.operators.cutsearch import with_place
+from rankweave.spec import SortSpec
 
-#: Rows that one range of doc_id is meant to hold.
-RANGE_ROWS = 20_000
+#: Rows that one range of doc_id is meant to hold, and the most ranges; beyond, ranges grow
+#: and a range's rows of one size and source are sorted on disk.
+RANGE_ROWS, RANGES = 20_000, 20_000
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -77,10 +86,8 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     sized = written(sized, "sizes")
     rows = sized if rows is None else rows
     n = sized.count()
-    cuts = max(2, min(512, -(-n // RANGE_ROWS)))
-    marks = sized.select(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], F.lit(10 * cuts)).alias("m")).first().m or []
-    cell = _search(sorted(set(marks)))
-    sized, rows = sized.withColumn("cell", cell), rows.withColumn("cell", cell)
+    ends = ranges(sized, "doc_id", n, RANGE_ROWS, RANGES)
+    sized, rows = (with_place(x, SortSpec.by("doc_id").keys, ends, "cell") for x in (sized, rows))
     keys = ["source", "size", "cell"]
     cells = sized.groupBy(*keys).agg(F.count("*").alias("n"))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,21 +98,18 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     cells = cells.drop("n").join(of_size.withColumnsRenamed({"source": "s", "size": "z"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     cells = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("cell").alias("c"), (F.col("before") + F.col("smaller")).alias("first"), "source_size", "target", "rate")
     joined = rows.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("cell") == F.col("c"))).drop("s", "z", "c")
-    place = F.col("first") + F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id"))
+    place = F.col("first") + F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", *[F.xxhash64("row.text")] * carry))
     crossed = lambda k: F.floor(k.cast("double") * F.col("rate") + _offset(seed))
     copies = (crossed(F.col("place")) - crossed(F.col("place") - 1)).cast("long")
     out = joined.withColumn("place", place).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     return out.drop("cell", "first", "place", "rate")
 
 
-def _search(marks: list[int]) -> Column:
-    """How many of many marks lie below doc_id, by halving."""
-    if not marks:
-        return F.lit(0)
-    m = len(marks) // 2
-    if m == 0:
-        return F.when(F.col("doc_id") > marks[0], 1).otherwise(0)
-    return F.when(F.col("doc_id") > marks[m], F.lit(m + 1) + _search(marks[m + 1 :])).otherwise(_search(marks[:m]))
+def ranges(df: DataFrame, column: str, n: int, rows: int, most: int) -> list[tuple[int]]:
+    """Ascending ends of ranges of a column that hold about `rows` of its n values each."""
+    parts = max(2, min(most, -(-n // rows)))
+    shares = F.from_json(F.lit(json.dumps([k / parts for k in range(1, parts)])), "array<double>")
+    return [(m,) for m in sorted(set(df.select(F.percentile_approx(column, shares, F.lit(20 * parts)).alias("m")).first().m or []))]
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -138,7 +142,7 @@ with sized as (
 ), placed as (
   select s.doc_id, s.source, s.size, t.source_size, t.target,
     case when t.source_size > 0 then t.target / t.source_size::double else 0.0::double end as rate,
-    row_number() over (partition by s.source order by s.size, s.doc_id) as place,
+    row_number() over (partition by s.source order by s.size, s.doc_id nulls first) as place,
     ('0x' || substr(md5('{seed}:' || coalesce(s.source, '')), 1, 8))::bigint::double / 4294967296.0::double as shift
   from sized s join targets t on s.source is not distinct from t.source
 ), counted as (

@@ -58,17 +58,26 @@ def test_shared_passages_are_found():
     assert {v for v, _ in a} & {v for v, _ in b}
 
 
-def test_neighbours_across_cells(make):
-    held = fp.CELL_ROWS, fp.CUTS
-    fp.CELL_ROWS, fp.CUTS = 3, 4
-    try:
-        ids = [5, 1000, 7, 7, -3, 88, 2000000, 90, 91, 92, 93]
-        rows = fp.with_next(make([f"t{i}" for i in range(len(ids))], ids), fp.F.struct("doc_id", "text")).collect()
-    finally:
-        fp.CELL_ROWS, fp.CUTS = held
-    order = sorted(((-i, f"t{k}") for k, i in enumerate(ids)))
-    want = {(-i, t): (-j, u) for (i, t), (j, u) in zip(order, order[1:] + order[:1])}
-    assert {(r.v.doc_id, r.v.text): (r.next_v.doc_id, r.next_v.text) for r in rows} == want
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_neighbours_across_cells(make, monkeypatch, rows):
+    """Clustered ids, repeated ids and rows without one, in cells of any size: one chain of all rows."""
+    monkeypatch.setattr(fp, "CELL_ROWS", rows)
+    ids = [5, 1000, 7, 7, -3, 88, 2000000, 90, 91, 92, 93, None, None, None, 7]
+    texts = [f"t{i}" for i in range(len(ids) - 1)] + ["t3"]
+    docs = make(texts, ids)
+    got = fp.with_next(docs, fp.F.col("text"), fp.F.struct("doc_id", fp.F.col("_text").alias("text"))).collect()
+    h = {r.text: r.h for r in docs.select("text", fp.F.xxhash64("text").alias("h")).collect()}
+    order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: (-ids[i], h[texts[i]]))
+    want = [((ids[i], texts[i]), (ids[j], texts[j])) for i, j in zip(order, order[1:])]
+    pairs = [(tuple(r.v), tuple(r.next_v)) for r in got]
+    assert all(pairs.count(w) == want.count(w) for w in want)
+    # rows without an id follow the last one with an id, each once, and lead back to the first
+    loose = [p for p in pairs if p not in want]
+    at, seen = (ids[order[-1]], texts[order[-1]]), []
+    for _ in range(4):
+        at = next(b for a, b in loose if a == at)
+        seen.append(at)
+    assert sorted(t for _, t in seen[:3]) == ["t11", "t12", "t13"] and seen[3] == (ids[order[0]], texts[order[0]]) and len(pairs) == len(ids)
 
 
 def test_one_and_none(make):
