@@ -7,7 +7,7 @@ are scanned and added back.  Only that little table is ever in one place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -117,3 +117,20 @@ def grouped_scan(counts: DataFrame, group: Sequence[str], order: str, value: str
 def reduce_all(df: DataFrame, **aggregates: Column) -> DataFrame:
     """Several aggregates over all rows in one pass: sums, extremes, bitwise and / or, counts."""
     return df.agg(*[c.alias(name) for name, c in aggregates.items()])
+
+
+def fold_in_order(df: DataFrame, spec: SortSpec, value: str, combine: Callable[[Column, Column], Column], fan: int = 64) -> DataFrame:
+    """One row with ``folded``: all values combined in the order of `spec` by an associative
+    function, that need not commute.  Neighbours are folded `fan` at a time, level by level,
+    so no task holds more than `fan` values at once."""
+    laid = in_order(df, spec)
+    counts = partition_counts(laid, PID)
+    placed = _carry(laid, exclusive(counts), "_base", "long").select((F.col("_base") + F.col(AT)).alias("i"), F.col(value).alias("v"))
+    left = sum(counts.values())
+    while left > 1:
+        group = F.sort_array(F.collect_list(F.struct("i", "v")))
+        rest = F.slice(F.col("g"), 2, F.greatest(F.size("g") - 1, F.lit(0)))
+        placed = placed.groupBy(F.floor(F.col("i") / fan).alias("at")).agg(group.alias("g"))
+        placed = placed.select(F.col("at").alias("i"), F.aggregate(rest, F.col("g")[0]["v"], lambda a, x: combine(a, x["v"])).alias("v"))
+        left = -(-left // fan)
+    return placed.select(F.col("v").alias("folded"))

@@ -83,8 +83,8 @@ def pivot_samples(n: int, p: int, least: int = 64, added: bool = False) -> int:
     """Samples for a median pivot; an odd number, -1 without rows."""
     if n <= 0:
         return -1
-    base, share = 16 * math.log2(max(p, 1)), n / p / 50
-    count = int(max(base + share, least) if added else max(base, share, least))
+    base, share = int(16 * math.log2(max(p, 1))), int(n / p / 50)  # each cut off by itself
+    count = max(base + share, least) if added else max(base, share, least)
     return count if count % 2 else count + 1
 
 
@@ -100,3 +100,25 @@ def multinomial_quota(sizes: Sequence[int], total: int, seed: int) -> list[int]:
 def equal_quota(parts: int, total: int, seed: int) -> list[int]:
     """`multinomial_quota` of equal parts."""
     return multinomial_quota([1] * parts, total, seed)
+
+
+def ceil_root(n: int, k: int) -> int:
+    """The least r with r ** k >= n."""
+    r = max(0, round(n ** (1 / k)) - 2) if n > 0 else 0
+    while r**k < n:
+        r += 1
+    return r
+
+
+def floor_log(n: int, base: int) -> int:
+    """The greatest e with base ** e <= n, for n >= 1."""
+    e = 0
+    while base ** (e + 1) <= n:
+        e += 1
+    return e
+
+
+def ternary_levels(n: int) -> list[int]:
+    """Sizes of the levels of a median-of-three tree over the first 3 ** floor_log(n, 3) of n values."""
+    e = floor_log(n, 3) if n else -1
+    return [3**k for k in range(e, -1, -1)]

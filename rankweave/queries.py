@@ -6,9 +6,7 @@ and prefix sums.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rankweave.functions import bucket_of, offset_in_slot
 from rankweave.operators import exchange as X
@@ -19,12 +17,10 @@ from rankweave.operators import scan as C
 from rankweave.operators import sorters as S
 from rankweave.operators import splitters as P
 from rankweave.operators import verify as V
+from rankweave.registry import ORACLES, QUERIES, query  # noqa: F401
 from rankweave.sources import load
 from rankweave.spec import SortSpec
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 PRICE = SortSpec.by("o_totalprice", ties=["o_orderkey"])
 DEAR = SortSpec.by("o_totalprice desc", ties=["o_orderkey"])
 TIME = SortSpec.by("ts", ties=["event_id"])
@@ -35,16 +31,6 @@ _RANKED = "row_number() over (order by o_totalprice nulls first, o_orderkey) - 1
 _EVEN = "case when n // 8 = 0 then r when r < (n % 8) * (n // 8 + 1) then r // (n // 8 + 1) else n % 8 + (r - (n % 8) * (n // 8 + 1)) // (n // 8) end"
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # -- ranks
 
 @query(f"select o_orderkey, o_totalprice, {_RANKED} as rank from orders")
@@ -97,11 +83,6 @@ def median_exact(spark, sf_dir):
     return R.median(load(spark, sf_dir, "orders"), "o_totalprice")
 
 
-@query()
-def median_sketch(spark, sf_dir):
-    return R.median(load(spark, sf_dir, "orders"), "o_totalprice", exact=False)
-
-
 def _cuts(spark, cuts):
     return spark.createDataFrame([(i + 1, c.rank, *c.at) for i, c in enumerate(cuts)], "i int, rank long, o_totalprice double, o_orderkey long")
 
@@ -230,10 +211,14 @@ def searched_buckets(spark, sf_dir):
     return P.histogram(load(spark, sf_dir, "orders"), bucket_of(F.col("o_totalprice"), [1000.0, 20000.0, 60000.0]))
 
 
-@query("select 1 as run, o_orderkey, (o_orderkey % 3 = 0) as chosen from orders")
+@query("select o_orderkey, o_orderkey % 3 = 0 as chosen, row_number() over (partition by o_orderkey % 3 = 0 order by o_orderdate, o_orderkey) - 1 as place from orders")
 def stable_partition(spark, sf_dir):
-    yes, no = X.split_by(load(spark, sf_dir, "orders").select(F.lit(1).alias("run"), "o_orderkey"), F.col("o_orderkey") % 3 == 0)
-    return yes.withColumn("chosen", F.lit(True)).unionByName(no.withColumn("chosen", F.lit(False)))
+    """Both sides keep the order that the rows had before."""
+    order = SortSpec.by("o_orderdate", ties=["o_orderkey"])
+    rows = R.global_rank(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), order)
+    sides = X.split_by(rows, F.col("o_orderkey") % 3 == 0)
+    yes, no = (R.global_rank(side.withColumnRenamed("rank", "was"), SortSpec.by("was")).withColumn("chosen", F.lit(k == 0)) for k, side in enumerate(sides))
+    return yes.unionByName(no).select("o_orderkey", "chosen", F.col("rank").alias("place"))
 
 
 # -- merging
@@ -279,9 +264,14 @@ def even_split_in_group(spark, sf_dir):
     return X.even_in_group(inner, "o_orderstatus", "rank", groups.select("o_orderstatus", "n", "slots"), "slots", "n")
 
 
-@query("select o_orderkey, o_custkey, o_totalprice from orders")
+@query("select count(*) as n, sum(o_orderkey)::bigint as keys, count(distinct o_orderkey) as one_each, true as even from orders")
 def random_shuffle(spark, sf_dir):
-    return X.shuffled(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), P8, 3)
+    """All rows once, and loads within six standard deviations of even."""
+    out = X.shuffled(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), P8, 3).withColumn("landed", F.spark_partition_id())
+    loads = out.groupBy("landed").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("o_orderkey").alias("one_each"))
+    n = F.sum("n")
+    even = (F.max("n") <= n / P8 + 6 * F.sqrt(n / P8)) & (F.min("n") >= n / P8 - 6 * F.sqrt(n / P8)) & (F.count("*") == P8)
+    return loads.agg(n.alias("n"), F.sum("keys").alias("keys"), F.sum("one_each").alias("one_each"), even.alias("even"))
 
 
 @query("select o_orderkey, (o_orderkey % 8)::int as pid, (o_orderkey % 8)::int as landed from orders")
@@ -319,27 +309,9 @@ def last_flagged(spark, sf_dir):
     return C.last_flagged(rows, TIME, F.col("flag"), "event_id").drop("ts")
 
 
-# -- samples: repeatable, but no SQL draws the same rows
-
-@query()
-def uniform_sample(spark, sf_dir):
-    return A.uniform(load(spark, sf_dir, "orders").select("o_orderkey"), 500, seed=5)
-
-
-@query()
-def bernoulli_sample(spark, sf_dir):
-    inside = F.col("o_totalprice").between(1000.0, 60000.0)
-    return A.bernoulli(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 0.1, seed=5, windows=inside)
-
-
-@query()
-def multinomial_quota(spark, sf_dir):
-    return A.quotas(load(spark, sf_dir, "orders"), 1000, seed=5, part=F.col("o_orderstatus"))
-
-
 # -- checks as data
 
-@query("select true as sorted, true as complete, 2048 as most")
+@query("select true as sorted, true as complete, ((count(*) + 7) // 8)::int as most from orders")
 def verified_sort(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     out = S.balanced_sort(rows, PRICE, P8).persist()

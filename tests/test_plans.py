@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from rankweave.plans import levels as L
+from rankweave.plans.assignment import assign, most_messages, small_limit
 from rankweave.plans.packing import Bucket, cuts, fill, fits, least_capacity, overlaps, splits_of
 
 buckets = st.lists(st.builds(Bucket, st.integers(0, 30), st.booleans()), max_size=12)
@@ -87,3 +88,30 @@ def test_split_table_of_four_buckets_over_three_parts():
     out = splits_of(sizes, [22, 40])
     assert out[0][1] == [12, 0, 0] and out[1][1] == [0, 12, 0] and out[2][1] == [0, 6, 0]
     assert [sum(out[p][b][s] for p in range(3) for b in range(4)) for s in range(3)] == [22, 18, 11]
+
+
+@given(st.lists(st.integers(0, 60), max_size=30), st.integers(1, 6), st.integers(0, 9))
+@settings(max_examples=300, deadline=None)
+def test_messages_fit_and_small_ones_stay_whole(sizes, receivers, spare):
+    capacity = [-(-sum(sizes) // receivers) + spare] * receivers
+    parts = assign(sizes, capacity)
+    for k, size in enumerate(sizes):
+        own = [n for m, _, n in parts if m == k]
+        assert sum(own) == size and (len(own) <= 1 or size > small_limit(len(sizes), capacity))
+    for r in range(receivers):
+        assert sum(n for _, to, n in parts if to == r) <= capacity[r]
+        assert sum(to == r for _, to, _ in parts) <= most_messages(len(sizes), receivers)
+    with pytest.raises(ValueError):
+        assign([sum(capacity) + 1], capacity)
+
+
+@given(st.integers(1, 10**12), st.integers(2, 5))
+@settings(max_examples=200, deadline=None)
+def test_roots_and_logarithms(n, k):
+    r, e = L.ceil_root(n, k), L.floor_log(n, k)
+    assert r**k >= n > (r - 1) ** k and k**e <= n < k ** (e + 1)
+    assert L.ternary_levels(28) == [27, 9, 3, 1] and L.ternary_levels(0) == []
+
+
+def test_pivot_samples_cut_each_term_off():
+    assert L.pivot_samples(3 * 535, 3, 1, added=True) == 35 and L.pivot_samples(0, 3) == -1

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rankweave.queries import ORACLES, QUERIES
+from rankweave import property_queries, queries  # noqa: F401  (both register)
+from rankweave.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
