@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rankweave.llm import kernels as K
-from rankweave.llm.storage import new_path
+from rankweave.llm.storage import new_path, table_name
 
 #: Bytes of text that one block holds, one document at least.
 BLOCK_BYTES = 3 << 20
@@ -72,9 +72,10 @@ class Blocks:
 
         size = docs.agg(F.sum(F.octet_length(docs.columns[-1]))).first()[0] or 0
         self.buckets = max(4, min(100_000, int(size) // (2 * block_bytes)))
-        self.name = f"blocks_{uuid.uuid4().hex}"
+        path = new_path(self.spark, "blocks")
+        self.name = table_name(path)  # goes when the path is dropped
         made = docs.mapInArrow(run, "block long, body binary, marks array<long>, size long")
-        made.write.bucketBy(self.buckets, "block").option("path", new_path(self.spark, "blocks")).option("compression", "none").saveAsTable(self.name)
+        made.write.bucketBy(self.buckets, "block").option("path", path).option("compression", "none").saveAsTable(self.name)
 
     @property
     def table(self) -> DataFrame:

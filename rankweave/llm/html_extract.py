@@ -39,7 +39,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rankweave.llm.skew import join_spread
+from rankweave.llm.skew import join_spread, sizes
 from rankweave.llm.storage import written
 
 # Elements and class words, by what they are for.
@@ -338,5 +338,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     given = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
     winners = written(winning_paths(pages), "winners")
     counts = given.groupBy("host").agg(F.count("*").alias("n"))
-    joined = join_spread(given, winners, "host", counts, given.count(), "page_id, url", "left").select("page_id", "url", "html", "winner", "boxes")
+    joined = join_spread(given, winners, "host", counts, *sizes(counts), "page_id, url", "left").select("page_id", "url", "html", "winner", "boxes")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

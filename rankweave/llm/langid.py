@@ -14,6 +14,9 @@ the model is frozen, so scoring is a table look-up for each byte.
 
 Defined results: null text, or text without a letter: ``und`` with score 0.
 Equal code lengths: the smaller language name.  No labelled row: ``und`` for all.
+Every row is predicted by its own text, so repeated rows get equal predictions; a long
+text is scored a piece at a time; an empty table gives an empty one, and columns other
+than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankweave.llm import kernels as K
-from rankweave.llm.components import components
-from rankweave.llm.skew import join_spread
+from rankweave.llm.components import components, merged
+from rankweave.llm.skew import join_spread, sizes
 from rankweave.llm.storage import written
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-7
@@ -173,11 +173,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    pairs = written(pairs, "pairs")
-    total, given = pairs.count(), pairs
-    for node, column in (("a", "left"), ("b", "right")):
-        table = sets.select(F.col("class").alias(node), F.col("elements").alias(column))
-        given = join_spread(given, table, node, pairs.groupBy(node).agg(F.count("*").alias("n")), total, "b" if node == "a" else "a")
+    pairs = given = written(pairs, "pairs")
+    for node, column, by in (("a", "left", "b"), ("b", "right", "a")):
+        counts = pairs.groupBy(node).agg(F.count("*").alias("n"))
+        given = join_spread(given, sets.select(F.col("class").alias(node), F.col("elements").alias(column)), node, counts, *sizes(counts), by)
     # sizes alone rule many pairs out
     n, m = F.octet_length("left"), F.octet_length("right")
     given = given.filter(F.least(n, m) * 100 >= F.greatest(n, m) * percent)
@@ -196,8 +195,7 @@ def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
     once = written(once, "classes")
     entries = once.filter("doc_id is not null").select("class", "doc_id", F.explode("keys").alias("key"))
     shared = written(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("centre")).filter("n > 1"), "keys")
-    many = shared.agg(F.sum("n")).first()[0] or 0
-    buckets = join_spread(entries, shared.drop("n"), "key", shared, many, "class").select("key", "class", "doc_id", "centre")
+    buckets = join_spread(entries, shared.drop("n"), "key", shared, *sizes(shared), "class").select("key", "class", "doc_id", "centre")
     buckets = written(buckets, "buckets")
     sets = written(_full_sets(docs, buckets.select("doc_id", "class").distinct()), "sets")
     pairs = buckets.filter(F.col("class") != F.col("centre")).select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
@@ -205,18 +203,18 @@ def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
     comps = written(components(links), "components")
     mixed = _mixed(buckets, comps)
     if mixed is not None:
-        links = written(links.unionByName(_confirmed(_more_stars(mixed), sets, percent)), "links")
-        comps = written(components(links), "components")
-        rest = _mixed(mixed.select("key", "class"), comps)
+        more = written(_confirmed(_more_stars(mixed), sets, percent), "links")
+        if not more.isEmpty():
+            comps = written(merged(comps, more), "components")
+        rest = _mixed(mixed.filter("n > 1 + " + str(CENTRES)).select("key", "class"), comps)
         if rest is not None:
-            links = links.unionByName(_settled(rest, sets, percent))
-            comps = written(components(links), "components")
+            comps = written(merged(comps, written(_settled(rest, sets, percent), "links")), "components")
     of_class = once.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "n", F.col("doc_id").alias("first_id"), F.coalesce("comp", "class").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    of_class = written(join_spread(of_class, least.drop("n"), "comp", least, once.count(), "class").select("class", "n", "comp", "component_id"), "named")
+    of_class = written(join_spread(of_class, least.drop("n"), "comp", least, *sizes(least), "class").select("class", "n", "comp", "component_id"), "named")
     out = signed.drop("keys")
     # rows without shingles stand for themselves and meet nowhere
-    out = join_spread(out.filter("n_shingles > 0"), of_class.drop("n"), "class", of_class, signed.count(), "doc_id", "left").unionByName(
+    out = join_spread(out.filter("n_shingles > 0"), of_class.drop("n"), "class", of_class, *sizes(of_class), "doc_id", "left").unionByName(
         out.filter("n_shingles = 0").withColumns({"comp": F.lit(None).cast("binary"), "component_id": F.lit(None).cast("long")})
     )
     alone = F.col("doc_id").isNull() | F.col("component_id").isNull()
@@ -225,16 +223,16 @@ def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame | None:
-    """The members of buckets (key, class) that hold several components, written; with comp, and
-    place: 1 .. CENTRES for those that are centres next, more for the others."""
+    """The members of buckets (key, class) that hold several components, written; with comp, n
+    (members of the bucket), and place: 1 .. CENTRES for those that are centres next, more for the others."""
     named = buckets.select("key", "class").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     named = written(named, "named")
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").drop("mixed")
     mixed = written(mixed, "mixed")
-    total = mixed.agg(F.sum("n")).first()[0]
+    total, most = sizes(mixed)
     if not total:
         return None
-    inside = join_spread(named, mixed.select("key"), "key", mixed, total, "class")
+    inside = join_spread(named, mixed, "key", mixed, total, most, "class")
     order = Window.partitionBy("key").orderBy(F.xxhash64("class", "key"))  # each task sends on its first ones only
     first = inside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRES).select("key", "class", "place")
     return written(inside.join(first, ["key", "class"], "left").withColumn("place", F.coalesce("place", F.lit(CENTRES + 1))), "mixed")
@@ -244,7 +242,7 @@ def _more_stars(mixed: DataFrame) -> DataFrame:
     """Pairs of each mixed bucket's chosen centres with the members of other components."""
     centres = mixed.filter(F.col("place") <= CENTRES).groupBy("key").agg(F.collect_list(F.struct("class", "comp", "place")).alias("centres"))
     counts = mixed.groupBy("key").agg(F.count("*").alias("n"))
-    met = join_spread(mixed, centres, "key", counts, mixed.count(), "class")
+    met = join_spread(mixed.drop("n"), centres, "key", counts, *sizes(counts), "class")
     met = met.select("class", "comp", "place", F.explode("centres").alias("c")).filter("comp != c.comp and place > c.place")
     return met.select(F.greatest("class", "c.class").alias("a"), F.least("class", "c.class").alias("b")).distinct()
 
@@ -258,10 +256,10 @@ def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     left = rest.filter(F.col("place") > CENTRES).join(sets.withColumn("bytes", F.octet_length("elements")), "class")
     left = left.select("key", "class", "comp", "elements", "bytes")
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
-    sizes = sizes.select("key", "n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    sizes = written(sizes, "sizes")
-    spread = join_spread(left.drop("bytes"), sizes.drop("n"), "key", sizes, sizes.agg(F.sum("n")).first()[0] or 0, "class").withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
+    open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
+    open_ = open_.select("key", "n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    open_ = written(open_, "sizes")
+    spread = join_spread(left.drop("bytes"), open_.drop("n"), "key", open_, *sizes(open_), "class").withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = spread.select("*", other.alias("other")).select("key", "class", "comp", "elements", F.least("block", "other").alias("block_i"), F.greatest("block", "other").alias("block_j"))
 

@@ -15,17 +15,26 @@ def hot_limit(total: int) -> int:
     return max(ROWS, total // HOT_KEYS)
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int, by: str, how: str = "inner") -> DataFrame:
+def join_spread(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int, most: int, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``table`` (one row a key), the rows of hot keys dealt to many tasks.
 
-    `counts`: key and n, the rows that each key has, `total` in all; `by`: SQL that tells
-    the rows of one key apart.  A hot key's row of the table is copied once for each
-    of its parts, which are at most total / hot_limit = HOT_KEYS over all keys and as
-    many again; the list of hot keys is bounded by HOT_KEYS and sent to all tasks.
+    `counts`: key and n, the rows that each key has; `total` in all and `most` of one key
+    (without a hot one the join is a plain one); `by`: SQL that tells the rows of one key
+    apart.  A hot key's row of the table is copied once for each of its parts, which are at
+    most twice HOT_KEYS over all keys; the list of hot keys is bounded by HOT_KEYS and sent
+    to all tasks.
     """
     limit = hot_limit(total)
+    if most <= limit:
+        return rows.join(table, key, how)
     hot = counts.filter(F.col("n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_parts"))
     same = F.col(key) == F.col("_hot")
     spread = rows.join(F.broadcast(hot), same, "left").withColumn("_part", F.coalesce(F.expr(f"cast(pmod(xxhash64({by}), _parts) as int)"), F.lit(0)))
     copies = table.join(F.broadcast(hot), same, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
     return spread.drop("_hot", "_parts").join(copies.drop("_hot", "_parts"), [key, "_part"], how).drop("_part")
+
+
+def sizes(counts: DataFrame) -> tuple[int, int]:
+    """Rows in all, and of the key that has most, from a table with n for each key."""
+    told = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    return told.total or 0, told.most or 0

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,28 +27,42 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-#: Folders handed out that nobody has dropped yet.
-_HANDED_OUT: list[str] = []
+#: Folders handed out that nobody has dropped yet, in the current scope.
+_HANDED_OUT: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """A list of the folders that are handed out inside, in this thread of control only."""
+    made: list[str] = []
+    token = _HANDED_OUT.set(made)
+    try:
+        yield made
+    finally:
+        _HANDED_OUT.reset(token)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _HANDED_OUT.append(path)
+    held = _HANDED_OUT.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
-def handed_out() -> list[str]:
-    return list(_HANDED_OUT)
+def table_name(path: str) -> str:
+    """The catalog name of a bucketed table in a folder that was handed out."""
+    return path.rsplit("/", 1)[-1].replace("-", "_")
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
-    """Delete intermediate folders; only once every result that reads them is written."""
+    """Delete intermediate folders and the tables in them; only once every result that reads
+    them is written."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in list(paths):
+        spark.sql(f"drop table if exists {table_name(path)}")
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(hadoop).delete(where, True)
-        if path in _HANDED_OUT:
-            _HANDED_OUT.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -8,12 +8,16 @@ each from a model that never saw that row.
 A text's features are the presence of its words (lower-case runs of letters and
 digits) and of their prefixes of four, five and six bytes.  For each category
 and each training fold, features are chosen by their likelihood ratio against
-the category; the models are fitted on at most ``SAMPLE_ROWS`` labelled rows.
-Every document is scored over its whole text.
+the category; the models are fitted on about ``SAMPLE_ROWS`` labelled rows of about
+``SAMPLE_BYTES`` of text at most, drawn by a hash of their ids.  Every document is
+scored over its whole text.
 
 Defined results: null and empty texts have no features and get the chain's
 intercepts; without two classes in a category its probability is the mean label
-(0 without labels); rows with a null label do not train that category.
+(0 without labels); rows with a null label do not train that category.  Every row is
+scored by its own text, so repeated rows and rows of one doc_id get what their texts
+get; of the texts of a labelled doc_id the one of least hash trains.  An empty table
+gives an empty one; columns other than text and those kept are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from rankweave.llm import kernels as K
 from rankweave.llm.blocks import cut
 from rankweave.llm.storage import written
 
-#: Bound of the labelled sample the chain is fitted on; features kept for a category.
-SAMPLE_ROWS, CHOSEN = 20_000, 1024
+#: Bounds of the labelled sample the chain is fitted on; features kept for a category.
+SAMPLE_ROWS, SAMPLE_BYTES, CHOSEN = 20_000, 256 << 20, 1024
 FOLDS = 5
 PREFIXES = (4, 5, 6)
 #: Rows with the category that must have a feature for it to be chosen.
@@ -158,7 +162,7 @@ def _choose(pos: np.ndarray, seen: np.ndarray, n_pos: int, n: int) -> np.ndarray
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE_ROWS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Chain:
     """`labels`: doc_id and one 0/1 column for each name, in the order of the chain.
 
     Of repeated labels of a document the greatest counts, and repeated documents count once.
@@ -166,8 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE
     told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(x).cast("double")).alias(x) for x in names])
     drawn = F.xxhash64(F.col("doc_id"), F.lit("toxicity")) / F.lit(2.0**64) + 0.5
     told = told.filter(drawn <= min(1.0, rows / max(told.count(), 1)))  # about `rows` rows, so all tasks may get them
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(told), "doc_id").dropDuplicates(["doc_id"])
-    sample = written(sample.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), *names), "labelled").repartition(8, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(told), "doc_id")
+    texts = texts.groupBy("doc_id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = written(texts.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % FOLDS).alias("fold"), *names), "labelled")
+    share = size / max(sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1)
+    if share < 1:
+        sample = sample.filter(F.xxhash64(F.lit("bytes"), "doc_id") / F.lit(2.0**64) + 0.5 <= share)
+    sample = sample.repartition(8, "doc_id")
     width = len(names)
 
     def label_matrix(batch: pa.RecordBatch) -> np.ndarray:

@@ -5,7 +5,7 @@ import pytest
 
 from rankweave.llm import near_dedup as N
 from rankweave.llm import skew
-from rankweave.llm.components import components
+from rankweave.llm.components import components, merged
 from tests.llm.conftest import ODD, words_of
 
 
@@ -90,12 +90,13 @@ def test_hot_classes_and_centres_are_spread(make, monkeypatch):
     assert {r.doc_id: r.component_id for r in N.link(make(texts), 85).collect()} == component
 
 
-def test_join_spread_is_a_join(spark):
+def test_join_spread_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS", 3)
     rows = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 7), (3, 8)], "k int, v int")
     table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
     counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
     for how in ("inner", "left"):
-        got = skew.join_spread(rows, table, "k", counts, 0, "v", how)
+        got = skew.join_spread(rows, table, "k", counts.filter("n > 0"), *skew.sizes(counts), "v", how)
         assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, rows.join(table, "k", how).select("k", "v", "w").collect()))
 
 
@@ -147,6 +148,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_merged_components(spark):
+    comps = components(spark.createDataFrame([(2, 1), (4, 3), (9, 8)], "a long, b long"))
+    got = {r.node: r.comp for r in merged(comps, spark.createDataFrame([(2, 4), (4, 7), (6, 5)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 1, 5: 5, 6: 5, 8: 8, 9: 8}
+
+
 def test_rows_of_one_id_are_judged_by_their_own_text(make):
     """A clean text stays beside a copy that has its doc_id; linked rows of one id are one."""
     a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in "abc")
