@@ -1,7 +1,11 @@
 """The corpus pipeline: documents through five operators, each stage written as Parquet.
 
 Each stage works on all rows that the one before it kept.  The stages but the last
-return the columns of documents.
+return the columns of documents, whatever other columns these have.
+
+Defined results, for all stages: an empty table gives an empty one; rows without doc_id
+stay rows of their own, and repeated rows are judged row by row, but for near-duplicates,
+where of linked rows one stays.
 """
 
 from __future__ import annotations
@@ -11,23 +15,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankweave.llm import bpe, mixing, near_dedup, queries, substring_dedup, toxicity
-from rankweave.llm.storage import drop, handed_out, new_path
+from rankweave.llm.storage import drop, new_path, scope
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the labels table, finds toxic go."""
+    """Documents that the classifier chain, fitted on the labels table, finds toxic go.
+
+    Null and empty texts have no features; they get the chain's intercepts, so they stay
+    unless most labelled documents are toxic.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = docs.select("text", F.struct("*").alias("row"))
     return toxicity.classify(docs, labels, rows=rows, keep=("row",)).filter(~F.col("toxic")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more, the one with the least doc_id stays."""
+    """Of documents linked by a similarity of 0.8 or more, the one with the least doc_id stays.
+
+    Null and empty texts, and rows without doc_id, are linked with nothing and stay; of
+    equal rows, and of rows of one doc_id that are linked, one stays; rows of one doc_id
+    that are not linked all stay.
+    """
     return near_dedup.deduplicate(docs, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that a smaller doc_id has go; n_chars follows the new text."""
+    """Words of passages that a smaller doc_id has go; n_chars follows the new text.
+
+    Every row stays: a null text stays null, one that loses all words becomes empty.  Rows of
+    one doc_id don't remove each other's words; no doc_id counts as the greatest.
+    """
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     out = substring_dedup.remove_repeats(rows, keep=("doc_id", "row"), with_text=True).select("row.*", "text")
     if "n_chars" in docs.columns:
@@ -36,12 +53,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null and empty texts have size 0 and share in their source's copies; a source without
+    words gives nothing; a null source is a source; repeated rows count each.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token_ids and digests of each text that the mix holds."""
+    """doc_id, source, token_ids and digests of each text that the mix holds.
+
+    Every row stays; null and empty texts have no tokens.
+    """
     return bpe.encode_columns(docs, queries.vocabulary_path(), keep=("doc_id", "source"), with_ids=True)
 
 
@@ -62,9 +86,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     again, and what it left in the shared folder goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before = handed_out()
         path = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop(spark, [p for p in handed_out() if p not in before and p != path])
+        with scope() as made:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop(spark, made)
         docs = spark.read.parquet(path)
     return docs
