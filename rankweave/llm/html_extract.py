@@ -20,6 +20,9 @@ counts as a box.
 Only the winner and the boxes of each host are joined back.  Pages are dealt by host, those of a
 host with very many in as many parts as their number wants, and its winner to each part.
 
+A block that is mostly a link counts as no text, unless a page has nothing else.  A notice
+by its class inside an article goes, as notices do.
+
 Defined results: null html counts as empty; a page without text gives an empty
 string; a null or malformed url counts as one host of its own; broken markup is
 read to the end as far as it goes.  Every row gives one row, repeated rows equal ones; a
@@ -196,6 +199,9 @@ def settle(page: Page) -> None:
         for node, quiet in zip(nodes, sure, strict=True):
             node.quiet = quiet
         weigh(page)
+    if not nodes[0].size:  # all that is left are links: then they are the text
+        page.blocks = [(k, text, False) for k, text, _ in page.blocks]
+        weigh(page)
 
 
 def _open_to_doubt(node: Node) -> bool:

@@ -74,3 +74,19 @@ def test_class_words_of_a_wrapper_do_not_empty_a_page(kind, brand):
 
 def test_class_words_count_beside_an_article():
     assert H.extract("<article><p>Short.</p></article><div class=sidebar><p>Much longer than the article is.</p></div>", None) == "Short."
+
+
+STORY = ("A long story sentence here. " * 10).strip()
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<nav>x</nav><div class="post-form"><h2>Head</h2><p>{STORY}</p></div>', f"Head {STORY}"),
+        (f'<div class="popular-science"><p>{STORY}</p></div><div class="other"><p>Short other text.</p></div>', f"{STORY} Short other text."),
+        (f'<article><h1>T</h1><p>{STORY}</p><div class="alert"><p>A notice.</p></div><p>end</p></article>', f"T {STORY} end"),
+        ('<nav><a href=/>Home</a></nav><div class=story><p><a href="/x">A story that is one link</a> yes</p></div>', "A story that is one link yes"),
+    ],
+)
+def test_no_page_is_emptied_by_words_or_links(html, text):
+    assert H.extract(f"<body>{html}</body>", None) == text
