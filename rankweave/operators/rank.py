@@ -132,8 +132,9 @@ def multi_select(
     """Rows at about the target ranks, by repeated sampling and exact histograms.
 
     Each round takes random rows inside each range still open as pivots - `samples` for
-    each target in it, or a single one if `samples` is 1 - counts exactly how many rows
-    come before each, and shrinks the ranges.  A target is settled once a row within
+    each target in it, or, if `samples` is 1, a single one: of the range's rows in the pool
+    the one whose place among them is that of the middle target in the range.  It counts
+    exactly how many rows come before each, and shrinks the ranges.  A target is settled once a row within
     `slack` of it is known, or once all rows there are equal: a cut is then before
     them.  Pivots come from a pool of about `pool` random rows a target, filled up
     for open ranges that have no row left in it; only these rows, and one count for each
@@ -161,9 +162,14 @@ def multi_select(
                 held = _drawn(rows, flat, spans, [pool * m for m in want], rng)
                 within = _by_span(held, spans, place_of)
             pivots = []
-            for some, m in zip(within, want, strict=True):
-                take = min(len(some), 1 if samples == 1 else samples * m)
-                pivots += [some[k] for k in rng.permutation(len(some))[:take]]
+            for some, m, span in zip(within, want, spans, strict=True):
+                if samples == 1 and some:
+                    aims = [w.target for w in open_ if (w.left, w.right) == span]
+                    (a, _), (b, _) = span
+                    share = (aims[len(aims) // 2] - a) / (b - a)
+                    pivots.append(sorted(some, key=place_of)[min(len(some) - 1, int(share * len(some)))])
+                else:
+                    pivots += [some[k] for k in rng.permutation(len(some))[: samples * m]]
             if not pivots:
                 continue
             pivots = sorted(set(pivots), key=place_of)
