@@ -84,7 +84,7 @@ def naive_chain(texts, columns):
 
     def has(text):
         words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
-        return {(0, w) for w in words} | {(k, w[:k]) for k in X.PREFIXES for w in words}
+        return {(0, w) for w in words} | {(k, w[:k]) for k in X.PREFIXES for w in words if len(w) > k}
 
     sets = [has(t) for t in texts]
     every = sorted(set().union(*sets))
