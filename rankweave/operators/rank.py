@@ -127,7 +127,7 @@ class Search:
 
 
 def multi_select(
-    df: DataFrame, spec: SortSpec, targets: Sequence[int] | Callable[[int], tuple[list[int], int]], slack: int = 0, samples: int = 5, seed: int = 1, rounds: int = 500, pool: int = 32, done: Search | None = None
+    df: DataFrame, spec: SortSpec, targets: Sequence[int] | Callable[[int], tuple[list[int], int]], slack: int = 0, samples: int = 5, seed: int = 1, rounds: int = 500, pool: int = 128, done: Search | None = None
 ) -> list[Cut]:
     """Rows at about the target ranks, by repeated sampling and exact histograms.
 

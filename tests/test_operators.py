@@ -157,7 +157,7 @@ def test_struct_string_and_timestamp_keys(spark):
 
 
 @pytest.mark.parametrize("samples", [1, 5])
-@pytest.mark.parametrize("pool", [1, 32])
+@pytest.mark.parametrize("pool", [1, 128])
 def test_exact_cuts_with_ties(spark, samples, pool):
     keys, done = [1] * 40 + [2] * 3 + [5] * 57, R.Search()
     cuts = R.multi_select(frame(spark, keys), SPEC, [20, 40, 60, 80, 100], samples=samples, pool=pool, done=done)
