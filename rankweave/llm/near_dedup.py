@@ -43,8 +43,8 @@ from rankweave.llm.skew import join_spread, sizes
 from rankweave.llm.storage import written
 
 SHINGLE, ROWS, MISS = 5, 5, 1e-7
-#: More centres of a bucket that mixes components; bytes of full sets in a block of what is left.
-CENTRES, BLOCK_BYTES = 8, 8 << 20
+#: More centres of a bucket that mixes components; members, and bytes of full sets, in a block of what is left.
+CENTRES, BLOCK, BLOCK_BYTES = 8, 512, 8 << 20
 
 
 def band_count(percent: int) -> int:
@@ -250,14 +250,14 @@ def _more_stars(mixed: DataFrame) -> DataFrame:
 def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components that larger buckets still mix.
 
-    The members that were no centre are cut into blocks of about BLOCK_BYTES of full sets by a
-    hash, and each two blocks of a bucket meet in one task, which emits only links that
+    The members that were no centre are cut into blocks of about BLOCK of them, or
+    BLOCK_BYTES of full sets, by a hash, and each two blocks of a bucket meet in one task, which emits only links that
     join components.
     """
     left = rest.filter(F.col("place") > CENTRES).join(sets.withColumn("bytes", F.octet_length("elements")), "class")
     left = left.select("key", "class", "comp", "elements", "bytes")
     open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), (F.min("comp") != F.max("comp")).alias("open")).filter("open")
-    open_ = open_.select("key", "n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    open_ = open_.select("key", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     open_ = written(open_, "sizes")
     spread = join_spread(left.drop("bytes"), open_.drop("n"), "key", open_, *sizes(open_), "class").withColumn("block", F.expr("cast(pmod(xxhash64(class), blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

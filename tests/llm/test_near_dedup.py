@@ -71,7 +71,7 @@ def chain(n):
 
 @pytest.mark.parametrize("centres", [1, 8])
 def test_chains_through_blocks(make, monkeypatch, centres):
-    monkeypatch.setattr(N, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(N, "BLOCK_BYTES" if centres == 1 else "BLOCK", 4000 if centres == 1 else 4)
     monkeypatch.setattr(N, "CENTRES", centres)
     texts = chain(30)
     component, _ = brute(texts, list(range(30)), 85)
