@@ -150,6 +150,7 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
 
 def release() -> None:
     """Give freed memory back, so that a worker's peak in one task doesn't stay for the next."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -136,6 +136,8 @@ def signatures(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))
                 columns = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_name, sets), pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays([*columns, *[c.slice(a, b - a) for c in batch.columns[2:]]], names)
+            del batch
+            K.release()
 
     given = docs.select(F.col("doc_id").cast("long"), "text", *[F.col("_digest")] * digest)
     return given.mapInArrow(run, "doc_id long, n_shingles long, class binary, keys array<long>" + ", digest binary" * digest)
@@ -150,6 +152,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a, b in K.slices(data, offs):
                 sets = list(shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
                 yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "elements"])
+            del batch
+            K.release()
 
     # by merge at any size: the list of wanted documents has no bound that would let all tasks have it
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
@@ -162,7 +166,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, held, right = [], None, None
+            keep, held, left, right = [], None, None, None
             for k in range(batch.num_rows):
                 left = np.frombuffer(batch.column(2)[k].as_py(), np.uint64)
                 name = batch.column(1)[k].as_py()
@@ -171,7 +175,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * both >= percent * (len(left) + len(right) - both):
                     keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            found = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            del batch, left, right
+            K.release()
+            yield found
 
     pairs = given = written(pairs, "pairs")
     for node, column, by in (("a", "left", "b"), ("b", "right", "a")):
@@ -265,12 +272,13 @@ def _settled(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         a, b = _block_links(table.column("class").to_pylist(), table.column("comp").to_pylist(), [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()], percent)
+        K.release()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return dealt.groupBy("key", "block_i", "block_j").applyInArrow(run, "a binary, b binary")
 
 
-def _block_links(names: list[bytes], comps: list[bytes], sets: list[np.ndarray], percent: int, columns: int = 4096) -> tuple[list[bytes], list[bytes]]:
+def _block_links(names: list[bytes], comps: list[bytes], sets: list[np.ndarray], percent: int, columns: int = 2048) -> tuple[list[bytes], list[bytes]]:
     """Links that join the components of some sets, enough of them to connect what is linked.
 
     All intersections at once: products of 0/1 matrices over the elements that two

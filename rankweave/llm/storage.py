@@ -65,8 +65,12 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
+#: Bytes of a row group that a task buffers before it writes.
+ROW_GROUP = 32 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back; lineage ends there."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -281,6 +281,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) ->
             p = np.zeros((len(offs) - 1, len(added)))
             for a, b in K.slices(data, offs):
                 p[a:b] = shared.value.probabilities(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            K.release()
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(p[:, k]) for k in range(len(added)))], [*keep, *added])
 
     return given.mapInArrow(run, schema)
