@@ -162,6 +162,15 @@ def _choose(pos: np.ndarray, seen: np.ndarray, n_pos: int, n: int) -> np.ndarray
     return out
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches whose second column is text, about a CHUNK of it at a time."""
+    for batch in batches:
+        data, offs = K.text_column(batch.column(1))
+        for a, b in K.slices(data, offs, K.CHUNK):
+            yield batch.slice(a, b - a)
+            K.release()
+
+
 def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Chain:
     """`labels`: doc_id and one 0/1 column for each name, in the order of the chain.
 
@@ -185,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Distinct features with, for each fold, rows that have them: all, and by category."""
         held: tuple[np.ndarray, np.ndarray] | None = None
-        for batch in batches:
+        for batch in _sliced(batches):
             data, offs = K.text_column(batch.column(1))
             row, feature = features(data, offs)
             fold = batch.column(2).to_numpy().astype(np.int64)
@@ -227,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = SAMPLE
     wanted, chosen = names_[any_], chosen[:, :, any_]
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             data, offs = K.text_column(batch.column(1))
             row, feature = features(data, offs, wanted)
             blob = K.pack_all(batch.column(0).to_numpy().astype(np.uint64), row.astype(np.uint64), feature)
