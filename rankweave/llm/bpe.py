@@ -5,7 +5,8 @@ the *last* token of that prefix's encoding.  That is enough: two tokens may
 stand side by side in an encoding exactly if merging their joined bytes gives
 the two tokens back, and an encoding is any sequence of which all neighbours
 may stand so.  Hence the last token of a prefix is the one token that ends there
-and may follow the last token of the prefix before it.
+and may follow the last token of the prefix before it.  Which tokens end at a place
+is told by the state of an automaton over the vocabulary, one step a byte.
 
 A later byte changes no prefix's encoding, and a token spans at most
 ``lookahead`` bytes (the longest entry that the merge list can make), so every
@@ -27,7 +28,8 @@ normalizer, prefix space or other options; anything else is refused.
 
 Defined results: a null text encodes as the empty text (no tokens).  Special
 tokens written out in a text are matched first, as the tokenizers library does.
-Every row is encoded by itself: repeated rows and ties give equal rows, an empty
+Every row gives a row: repeated rows and ties give equal rows (a text that follows
+itself, as the copies in a mix do, is encoded once for all of them), an empty
 table an empty one, and columns of `docs` other than text and those in `keep`
 are not read, whatever their names.
 """
@@ -37,6 +39,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +48,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from rankweave.llm import kernels as K
+
 # Contractions, and the code points with the White_Space property.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -60,6 +66,9 @@ _RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_WHITE}\p{{L}}\p
 #: Characters of a text that are cut into pre-tokens at a time.
 WINDOW = 1 << 18
 
+#: Tokens of the rows that are gathered before they are handed on.
+HELD = 1 << 20
+
 # Settings of a vocabulary file that this encoder follows.
 _SETTINGS = {
     "normalizer": None,
@@ -98,7 +107,7 @@ class _Known(dict):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
+    def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece) or self.encode(piece)
         if len(piece) <= 64:
             if len(self) >= self.limit:
@@ -108,11 +117,29 @@ class _Known(dict):
         return found
 
 
+class _State(dict):
+    """What the bytes read so far can still become part of.  By the next byte: the state
+    after it, made when first asked for.  `ends`: (length, id) of the tokens that end here,
+    the longest first."""
+
+    __slots__ = ("read", "ends", "after")
+
+    def __init__(self, read: bytes, ends: tuple[tuple[int, int], ...], after) -> None:
+        super().__init__()
+        self.read, self.ends, self.after = read, ends, after
+
+    def __missing__(self, byte: int) -> _State:
+        found = self[byte] = self.after(self.read + bytes((byte,)))
+        return found
+
+
 class Bpe:
     """A vocabulary with its merge list, and the transducer over it."""
 
     #: Encodings of pre-tokens kept for reuse in each of two generations.
     CACHE = 250_000
+    #: Steps between states kept for reuse.
+    STEPS = 500_000
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -124,6 +151,7 @@ class Bpe:
         self.bytes = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.bytes}
         self.split, self.rank = {}, {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = (as_bytes(x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
@@ -133,7 +161,9 @@ class Bpe:
         self._pairs: dict[int, bool] = {}
         self._known = _Known(self._piece, self.CACHE)
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).finditer if self.special else None
-        self._lengths = self._lengths_by_end()
+        self._sorted = sorted(self.ids)
+        self._states: dict[bytes, _State] = {}
+        self._steps = 0
 
     def _lookahead(self) -> int:
         """Bytes after which a prefix's tokens are decided: the most that any token the
@@ -146,13 +176,23 @@ class Bpe:
         self.ids = {t: i for t, i in self.ids.items() if i in self.made}
         return max(map(len, self.ids), default=1)
 
-    def _lengths_by_end(self) -> dict[bytes, tuple[int, ...]]:
-        """Lengths, the longest first, of the tokens that end with each two bytes."""
-        lengths: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            if len(token) > 1:
-                lengths.setdefault(token[-2:], {1}).add(len(token))
-        return {end: tuple(sorted(found, reverse=True)) for end, found in lengths.items()}
+    def _state(self, read: bytes) -> _State:
+        """The state after some bytes: the longest end of them that begins a token."""
+        while read and not self._begins(read):
+            read = read[1:]
+        if self._steps > self.STEPS:
+            self._states.clear()
+            self._steps = 0
+        self._steps += 1
+        found = self._states.get(read)
+        if found is None:
+            ends = tuple((len(read) - k, self.ids[read[k:]]) for k in range(len(read)) if read[k:] in self.ids)
+            found = self._states[read] = _State(read, ends, self._state)
+        return found
+
+    def _begins(self, read: bytes) -> bool:
+        at = bisect_left(self._sorted, read)
+        return at < len(self._sorted) and self._sorted[at].startswith(read)
 
     # -- neighbours
 
@@ -184,21 +224,16 @@ class Bpe:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token given as chunks of bytes, each as soon as it is decided."""
-        ids, width, lengths = self.ids, self.lookahead, self._lengths
-        window = b""  # the bytes of the last `lookahead` prefixes
-        last: list[int] = [-1]  # last token of each of those prefixes, the oldest first
-        start: list[int] = [-1]  # where in the window that token begins
+        width, state = self.lookahead, self._state(b"")
+        last: list[int] = [-1]  # last token of each of the last `lookahead` prefixes, the oldest first
+        start: list[int] = [-1]  # which of those prefixes that token begins after
         base = 0  # prefixes given up so far
         for chunk in chunks:
             for byte in chunk:
-                window += bytes((byte,))
-                n = len(window)
-                for length in lengths.get(window[-2:], (1,)):
+                state, n = state[byte], len(last)
+                for length, token in state.ends:
                     at = n - length
-                    if at < 0:
-                        continue
-                    token = ids.get(window[at:])
-                    if token is not None and (at + base == 0 or (last[at] >= 0 and self.adjacent(last[at], token))):
+                    if at >= 0 and (at + base == 0 or (last[at] >= 0 and self.adjacent(last[at], token))):
                         last.append(token)
                         start.append(at)
                         break
@@ -209,13 +244,13 @@ class Bpe:
                     cut = self._common(last, start, n, width)
                     if cut:
                         yield from self._path(last, start, cut)
-                        window, base = window[cut:], base + cut
+                        base += cut
                         last, start = last[cut:], [x - cut for x in start[cut:]]
-        yield from self._path(last, start, len(window))
+        yield from self._path(last, start, len(last) - 1)
 
     @staticmethod
     def _path(last: list[int], start: list[int], at: int) -> list[int]:
-        """Tokens of the prefix `at` of the window."""
+        """Tokens of the prefix `at` of those held."""
         out = []
         while at > 0:
             out.append(last[at])
@@ -233,39 +268,33 @@ class Bpe:
 
     def _short(self, raw: bytes) -> list[int]:
         """The transducer over a pre-token that fits in the window: nothing to emit early."""
-        get, pairs, adjacent = self.ids.get, self._pairs, self._adjacent
-        if len(pairs) > 2_000_000:
-            pairs.clear()
-        n, lengths = len(raw), self._lengths.get
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for length in lengths(raw[end - 2 : end], (1,)) if end > 1 else (1,):
+        pairs, adjacent, state = self._pairs, self.adjacent, self._state(b"")
+        last, start = [-1], [0]
+        for end, byte in enumerate(raw, 1):
+            state = state[byte]
+            for length, token in state.ends:
                 at = end - length
-                if at < 0:
-                    continue
-                token = get(raw[at:end])
-                if token is None:
-                    continue
                 if at:
                     before = last[at]
                     if before < 0:
                         continue
-                    key = before << 32 | token
-                    fits = pairs.get(key)
-                    if fits is None:
-                        fits = pairs[key] = adjacent(before, token)
-                    if not fits:
+                    fits = pairs.get(before << 32 | token)
+                    if not (adjacent(before, token) if fits is None else fits):
                         continue
-                last[end], start[end] = token, at
+                last.append(token)
+                start.append(at)
                 break
-        return self._path(last, start, n)
+            else:
+                last.append(-1)
+                start.append(0)
+        return self._path(last, start, len(raw))
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        """Ids as text, and the bytes that the ids stand for, of one pre-token."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, as packed 32-bit numbers."""
         raw = piece.encode("utf-8", "surrogatepass")
         whole = self.ids.get(raw)
         out = [whole] if whole is not None else self._short(raw) if len(raw) <= self.lookahead else list(self.stream((raw,)))
-        return ",".join(map(str, out)), b"".join([self.bytes[i] for i in out])
+        return array("i", out).tobytes()
 
     def _spans(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(from, to, id) of each special token, and of what lies between (-1)."""
@@ -279,12 +308,12 @@ class Bpe:
         if at < len(text):
             yield at, len(text), -1
 
-    def batches(self, text: str, window: int | None = None) -> Iterator[list[tuple[str, bytes]]]:
-        """(ids as text, the bytes they stand for) of the text's pre-tokens, a window at a time."""
+    def windows(self, text: str, window: int | None = None) -> Iterator[np.ndarray]:
+        """Ids of the text's pre-tokens, a window at a time."""
         known, window = self._known.__getitem__, window or WINDOW
         for at, end, special in self._spans(text):
             if special >= 0:
-                yield [(str(special), self.bytes[special])]
+                yield np.array([special], dtype=np.int32)
                 continue
             while at < end:
                 to = min(end, at + window)
@@ -298,21 +327,30 @@ class Bpe:
                         at = run.end
                         continue
                 if pieces:
-                    yield list(map(known, pieces))
+                    yield np.frombuffer(b"".join(map(known, pieces)), dtype=np.int32)
                 at = to if to == end else at + sum(map(len, pieces))
 
-    def _streamed(self, run: _Run) -> Iterator[list[tuple[str, bytes]]]:
+    def _streamed(self, run: _Run) -> Iterator[np.ndarray]:
         held: list[int] = []
         for i in self.stream(run):
             held.append(i)
             if len(held) >= 10_000:
-                yield [(",".join(map(str, held)), b"".join([self.bytes[i] for i in held]))]
+                yield np.array(held, dtype=np.int32)
                 held = []
         if held:
-            yield [(",".join(map(str, held)), b"".join([self.bytes[i] for i in held]))]
+            yield np.array(held, dtype=np.int32)
+
+    def written(self, ids: list[int]) -> tuple[str, bytes]:
+        """Ids as text, and the bytes they stand for."""
+        return ",".join(map(self.digits.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
+
+    def batches(self, text: str, window: int | None = None) -> Iterator[list[tuple[str, bytes]]]:
+        """(ids as text, the bytes they stand for) of the text, a window at a time."""
+        for ids in self.windows(text, window):
+            yield [self.written(ids.tolist())]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for batch in self.batches(text or "") for s, _ in batch for i in s.split(",")]
+        return [i for ids in self.windows(text or "") for i in ids.tolist()]
 
     # -- decoding
 
@@ -400,14 +438,13 @@ def _digest(bpe: Bpe, text: str, ids_out: list[np.ndarray] | None = None) -> tup
     """Token count and digests of the ids and of the decoded text, a window of the text
     at a time; the ids themselves only go to `ids_out` if that is given."""
     n, ids, decoded, machine, first = 0, hashlib.sha256(), hashlib.sha256(), Utf8(), True
-    for part in bpe.batches(text):
-        texts, raw = zip(*part)
-        joined = ",".join(texts)
-        n += joined.count(",") + 1
+    for part in bpe.windows(text):
+        joined, raw = bpe.written(part.tolist())
+        n += len(part)
         ids.update((joined if first else "," + joined).encode())
-        decoded.update(machine.feed(b"".join(raw)).encode())
+        decoded.update(machine.feed(raw).encode())
         if ids_out is not None:
-            ids_out.append(np.array(joined.split(","), dtype=np.int32))
+            ids_out.append(part)
         first = False
     decoded.update(machine.end().encode())
     return n, ids.hexdigest(), decoded.hexdigest()
@@ -426,16 +463,24 @@ def encode_columns(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in keep] + [f"{n} {sql.get(t, 'array<int>')}" for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe, before, row, ids = load(path), None, None, None
         for batch in batches:
-            rows, tokens = [], []
-            for value in batch.column(len(keep)):
+            K.release()
+            rows, tokens, held, first = [], [], 0, 0
+            for place, value in enumerate(batch.column(len(keep)), 1):
                 text = value.as_py() or ""
-                parts = [np.zeros(0, np.int32)]
-                rows.append(_digest(bpe, text, parts if with_ids else None))
-                tokens.append(np.concatenate(parts) if with_ids else None)
-            data = [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
-            columns = [batch.column(k) for k in range(len(keep))] + [pa.array(x, t) for x, (_, t) in zip([*data, *([tokens] if with_ids else [])], added, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *(n for n, _ in added)])
+                if text != before:  # a mix holds the copies of a document next to each other
+                    parts = [np.zeros(0, np.int32)]
+                    row = _digest(bpe, text, parts if with_ids else None)
+                    before, ids = text, np.concatenate(parts) if with_ids else None
+                rows.append(row)
+                tokens.append(ids)
+                held += row[0]
+                if held >= HELD or place == len(batch):
+                    data = [*map(list, zip(*rows, strict=True)), *([tokens] if with_ids else [])]
+                    columns = [batch.column(k).slice(first, len(rows)) for k in range(len(keep))] + [pa.array(x, t) for x, (_, t) in zip(data, added, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, [*keep, *(n for n, _ in added)])
+                    rows, tokens, held, first = [], [], 0, place
+        K.release()
 
     return given.mapInArrow(run, schema)

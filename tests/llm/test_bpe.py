@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from rankweave.llm import bpe
@@ -106,3 +107,35 @@ def test_column(both, make):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.encode_columns(make([]), vocabulary_path()).isEmpty()
+
+
+def test_copies_next_to_each_other_are_encoded_once(both, make, monkeypatch):
+    """Also across batches; equal texts with others between them and null texts keep their rows."""
+    _, theirs = both
+    texts = ["a b c", "a b c", "a b c", "é d", "a b c", None, "", None, "x y", "x y"]
+    calls, digest = [], bpe._digest
+    monkeypatch.setattr(bpe, "_digest", lambda b, text, *a: calls.append(text) or digest(b, text, *a))
+    docs = make(texts)
+    monkeypatch.setattr(bpe, "HELD", 7)  # so a batch is handed on in several
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = bpe.encode_columns(docs, vocabulary_path(), with_ids=True)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [*range(a, b)], "text": pa.array(texts[a:b], pa.string())}) for a, b in ((0, 2), (2, 9), (9, 10))]
+    out = list(run(iter(batches)))
+    rows = [r for batch in out for r in batch.to_pylist()]
+    assert len(out) > len(batches) and calls == ["a b c", "é d", "a b c", "", "x y"]
+    assert [r["doc_id"] for r in rows] == [*range(len(texts))]
+    for text, r in zip(texts, rows, strict=True):
+        ids = theirs.encode(text or "", add_special_tokens=False).ids
+        assert r["token_ids"] == ids and r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_states_given_up_change_nothing(both, monkeypatch):
+    """However few steps between states are kept, and in the middle of a pre-token."""
+    _, theirs = both
+    monkeypatch.setattr(bpe.Bpe, "STEPS", 20)
+    ours = bpe.Bpe(vocabulary_path())
+    for text in [*samples()[::2], "abcdefghij" * 300 + "日本語" * 200]:
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+        assert ours._steps <= 21
