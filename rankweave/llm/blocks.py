@@ -69,6 +69,7 @@ class Blocks:
                     body, marks, size = describe(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], rows)
                     columns = [pa.array([_new_number()], pa.int64()), pa.array([body], pa.binary()), pa.array([marks], pa.list_(pa.int64())), pa.array([size], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "body", "marks", "size"])
+                    K.release()
 
         size = docs.agg(F.sum(F.octet_length(docs.columns[-1]))).first()[0] or 0
         self.buckets = max(4, min(100_000, int(size) // (2 * block_bytes)))

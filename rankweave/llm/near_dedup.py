@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rankweave.llm import kernels as K
-from rankweave.llm.components import components, merged
+from rankweave.llm.components import ROW_BYTES, components, merged
 from rankweave.llm.skew import join_spread, sizes
 from rankweave.llm.storage import written
 
@@ -158,11 +158,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # by merge at any size: the list of wanted documents has no bound that would let all tasks have it
     texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(run, "class binary, elements binary")
-    return sets.join(wanted.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
+    return sets.join(wanted.select("class").distinct().hint("merge"), "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those distinct pairs (a, b) of classes with 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Those distinct pairs (a, b) of classes, at most `rows`, with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +180,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             K.release()
             yield found
 
-    pairs = given = written(pairs, "pairs")
+    pairs = given = written(pairs, "pairs", rows * ROW_BYTES)
     for node, column, by in (("a", "left", "b"), ("b", "right", "a")):
         counts = pairs.groupBy(node).agg(F.count("*").alias("n"))
         given = join_spread(given, sets.select(F.col("class").alias(node), F.col("elements").alias(column)), node, counts, *sizes(counts), by)
@@ -198,30 +198,34 @@ def link(docs: DataFrame, percent: int = 80) -> DataFrame:
 def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
     """What link() returns, class, comp (a class that names the component), and digest if asked for."""
     signed = written(signatures(docs, percent, digest), "signatures")
+    n, bands = signed.count(), band_count(percent)  # bound the bytes of what follows
     once = signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count("*").alias("n"))
-    once = written(once, "classes")
+    once = written(once, "classes", n * (ROW_BYTES + 8 * bands))
     entries = once.filter("doc_id is not null").select("class", "doc_id", F.explode("keys").alias("key"))
-    shared = written(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("centre")).filter("n > 1"), "keys")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("centre")).filter("n > 1")
+    shared = written(shared, "keys", n * bands // 2 * ROW_BYTES)
     buckets = join_spread(entries, shared.drop("n"), "key", shared, *sizes(shared), "class").select("key", "class", "doc_id", "centre")
-    buckets = written(buckets, "buckets")
+    buckets = written(buckets, "buckets", n * bands * ROW_BYTES)
+    members = buckets.count()
     sets = written(_full_sets(docs, buckets.select("doc_id", "class").distinct()), "sets")
     pairs = buckets.filter(F.col("class") != F.col("centre")).select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
-    links = written(_confirmed(pairs, sets, percent), "links")
-    comps = written(components(links), "components")
-    mixed = _mixed(buckets, comps)
+    links = written(_confirmed(pairs, sets, percent, members), "links")
+    comps = written(components(links, members), "components", n * ROW_BYTES)
+    mixed = _mixed(buckets, comps, members)
     if mixed is not None:
-        more = written(_confirmed(_more_stars(mixed), sets, percent), "links")
-        if not more.isEmpty():
-            comps = written(merged(comps, more), "components")
-        rest = _mixed(mixed.filter("n > 1 + " + str(CENTRES)).select("key", "class"), comps)
+        more = written(_confirmed(_more_stars(mixed), sets, percent, CENTRES * members), "links")
+        if count := more.count():
+            comps = written(merged(comps, more, count), "components", n * ROW_BYTES)
+        rest = _mixed(mixed.filter("n > 1 + " + str(CENTRES)).select("key", "class"), comps, members)
         if rest is not None:
-            comps = written(merged(comps, written(_settled(rest, sets, percent), "links")), "components")
-    of_class = once.join(comps.withColumnRenamed("node", "class"), "class", "left").select("class", "n", F.col("doc_id").alias("first_id"), F.coalesce("comp", "class").alias("comp"))
+            settled = written(_settled(rest, sets, percent), "links")
+            comps = written(merged(comps, settled, settled.count()), "components", n * ROW_BYTES)
+    of_class = once.join(comps.withColumnRenamed("node", "class").hint("merge"), "class", "left").select("class", "n", F.col("doc_id").alias("first_id"), F.coalesce("comp", "class").alias("comp"))
     least = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    of_class = written(join_spread(of_class, least.drop("n"), "comp", least, *sizes(least), "class").select("class", "n", "comp", "component_id"), "named")
+    of_class = written(join_spread(of_class, least.drop("n"), "comp", least, *sizes(least), "class", merge=True).select("class", "n", "comp", "component_id"), "named", n * ROW_BYTES)
     out = signed.drop("keys")
     # rows without shingles stand for themselves and meet nowhere
-    out = join_spread(out.filter("n_shingles > 0"), of_class.drop("n"), "class", of_class, *sizes(of_class), "doc_id", "left").unionByName(
+    out = join_spread(out.filter("n_shingles > 0"), of_class.drop("n"), "class", of_class, *sizes(of_class), "doc_id", "left", merge=True).unionByName(
         out.filter("n_shingles = 0").withColumns({"comp": F.lit(None).cast("binary"), "component_id": F.lit(None).cast("long")})
     )
     alone = F.col("doc_id").isNull() | F.col("component_id").isNull()
@@ -229,20 +233,20 @@ def _linked(docs: DataFrame, percent: int, digest: bool = False) -> DataFrame:
     return out.withColumns({"component_id": component, "kept": F.coalesce(F.col("doc_id") == component, F.lit(True))})
 
 
-def _mixed(buckets: DataFrame, comps: DataFrame) -> DataFrame | None:
-    """The members of buckets (key, class) that hold several components, written; with comp, n
+def _mixed(buckets: DataFrame, comps: DataFrame, members: int) -> DataFrame | None:
+    """The members of buckets (key, class), at most `members`, that hold several components, written; with comp, n
     (members of the bucket), and place: 1 .. CENTRES for those that are centres next, more for the others."""
-    named = buckets.select("key", "class").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    named = written(named, "named")
+    named = buckets.select("key", "class").join(comps.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    named = written(named, "named", members * ROW_BYTES)
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").drop("mixed")
-    mixed = written(mixed, "mixed")
+    mixed = written(mixed, "mixed", members // 2 * ROW_BYTES)
     total, most = sizes(mixed)
     if not total:
         return None
     inside = join_spread(named, mixed, "key", mixed, total, most, "class")
     order = Window.partitionBy("key").orderBy(F.xxhash64("class", "key"))  # each task sends on its first ones only
     first = inside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRES).select("key", "class", "place")
-    return written(inside.join(first, ["key", "class"], "left").withColumn("place", F.coalesce("place", F.lit(CENTRES + 1))), "mixed")
+    return written(inside.join(first.hint("merge"), ["key", "class"], "left").withColumn("place", F.coalesce("place", F.lit(CENTRES + 1))), "mixed", total * ROW_BYTES)
 
 
 def _more_stars(mixed: DataFrame) -> DataFrame:
@@ -329,6 +333,6 @@ def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     kept = rows.groupBy("doc_id", "comp").agg(F.min(F.struct("class", "digest"))["digest"].alias("_digest")).select("doc_id", "_digest")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     order = F.struct(F.col("text").isNull().alias("a"), *[F.to_json(F.struct(*others)).alias("b")] * bool(others))
-    given = named.join(kept, ["doc_id", "_digest"], "left_semi").select("doc_id", "_digest", order.alias("order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    given = named.join(kept.hint("merge"), ["doc_id", "_digest"], "left_semi").select("doc_id", "_digest", order.alias("order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     once = given.groupBy("doc_id", "_digest").agg(F.min_by("row", "order").alias("row")).select("row.*")
     return once.unionByName(docs.filter("doc_id is null"))

@@ -65,12 +65,36 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
+#: Bytes of rows that go to a Python worker at a time, and Spark's own bound.
+BATCH, BATCH_CONF, BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH, unless somebody has set them.
+
+    An executor holds a batch in several copies outside its heap (vectors that grow by
+    doubling, the buffer of the stream, the worker's own) for each of its cores.  Spark
+    reads the setting when a plan runs, so it can't be undone when a stage is returned.
+    """
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH)
+
+
 #: Bytes of a row group that a task buffers before it writes.
 ROW_GROUP = 32 << 20
+#: Bytes of rows for which a file of its own is worth while.
+FILE = 4 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back; lineage ends there."""
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write the rows to the shared folder and read them back; lineage ends there.
+
+    `most`: bytes that all rows have at most, where that is known.  Then no more files are
+    written than these bytes want, however many partitions there are: for each file of a
+    local folder Hadoop starts some processes (chmod) from the executor, each of which
+    counts as a second executor in memory until it runs a program of its own.
+    """
     path = new_path(df.sparkSession, name)
+    df = df if most is None else df.coalesce(1 + most // FILE)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -209,6 +209,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_te
         for batch in batches:
             for k in range(batch.num_rows):
                 yield _kept({name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)})
+                K.release()
 
     def _kept(row: dict) -> pa.RecordBatch:
         rows, p, data, offs = _passages(row)

@@ -281,17 +281,18 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) ->
     """The columns in `keep` and the probability p_<name> of each category."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     added = [f"p_{x}" for x in chain.names]
-    given = docs.select(*keep, F.col("text").alias("_scored"))
+    given = docs.select(*keep, *[F.col("text").alias("_scored")] * ("text" not in keep))  # no text goes to a worker twice
+    at = keep.index("text") if "text" in keep else len(keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in keep] + [f"{x} double" for x in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = K.text_column(batch.column(len(keep)))
-            p = np.zeros((len(offs) - 1, len(added)))
+            data, offs = K.text_column(batch.column(at))
             for a, b in K.slices(data, offs):
-                p[a:b] = shared.value.probabilities(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                p = shared.value.probabilities(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *(pa.array(p[:, k]) for k in range(len(added)))], [*keep, *added])
+            del batch, data, offs
             K.release()
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *(pa.array(p[:, k]) for k in range(len(added)))], [*keep, *added])
 
     return given.mapInArrow(run, schema)
 

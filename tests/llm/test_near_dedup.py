@@ -1,10 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
 from rankweave.llm import near_dedup as N
-from rankweave.llm import skew
+from rankweave.llm import components as C
+from rankweave.llm import skew, storage
 from rankweave.llm.components import components, merged
 from tests.llm.conftest import ODD, words_of
 
@@ -100,6 +102,55 @@ def test_join_spread_is_a_join(spark, monkeypatch):
         assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, rows.join(table, "k", how).select("k", "v", "w").collect()))
 
 
+@pytest.mark.parametrize("limit", [3, 500])
+def test_join_spread_broadcasts_no_list_by_a_binary_key(spark, monkeypatch, limit):
+    """Each of those takes a memory page of every executor until the driver drops it."""
+    monkeypatch.setattr(skew, "ROWS", limit)
+    rows = spark.createDataFrame([(b"a", k) for k in range(50)] + [(b"b", 7), (b"c", 8), (None, 9)], "k binary, v int")
+    table = spark.createDataFrame([(b"a", "x"), (b"b", "y"), (None, "z")], "k binary, w string")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    for how in ("inner", "left"):
+        got = skew.join_spread(rows, table, "k", counts, *skew.sizes(counts), "v", how, merge=True).select("k", "v", "w")
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", how).select("k", "v", "w").collect()))
+        kinds = set(re.findall(r"HashedRelationBroadcastMode\(List\(input\[\d+, (\w+)", got._jdf.queryExecution().executedPlan().toString()))
+        assert kinds == ({"bigint"} if limit == 3 else set())
+
+
+def test_join_spread_of_hot_keys_with_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS", 3)
+    monkeypatch.setattr(skew.F, "xxhash64", lambda key: skew.F.length(key).cast("long"))
+    rows = spark.createDataFrame([("a", k) for k in range(50)] + [("b", k) for k in range(20)] + [("cc", 8), ("d", 9)], "k string, v int")
+    table = spark.createDataFrame([("a", "x"), ("b", "y"), ("cc", "z")], "k string, w string")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    got = skew.join_spread(rows, table, "k", counts, *skew.sizes(counts), "v", "left", merge=True).select("k", "v", "w")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "k", "left").select("k", "v", "w").collect()))
+
+
+def test_small_tables_are_few_files(make, spark, monkeypatch):
+    """Each file starts processes from its executor; partitions may be many."""
+    made = []
+
+    def told(df, name, most=None):
+        out = storage.written(df, name, most)
+        made.append((name, len(out.inputFiles())))
+        return out
+
+    for module in (N, C):
+        monkeypatch.setattr(module, "written", told)
+    texts = corpus()
+    component, _ = brute(texts, list(range(len(texts))), 85)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert {r.doc_id: r.component_id for r in N.link(make(texts), 85).collect()} == component
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {name for name, _ in made} >= {"classes", "keys", "buckets", "pairs", "stars", "components", "named"}
+    assert not [x for x in made if x[1] > 1 and x[0] not in ("signatures", "sets", "links", "sizes")]
+
+
 def test_recall_at_the_threshold():
     rng = np.random.Generator(np.random.PCG64(2))
     for percent in (80, 85):

@@ -2,8 +2,10 @@ import inspect
 import os
 import threading
 
+import pyarrow as pa
+
 import corpus_pipeline
-from rankweave.llm import queries
+from rankweave.llm import queries, storage
 from rankweave.llm.storage import new_path, scope
 
 
@@ -83,3 +85,23 @@ def test_registered_queries_take_whole_tables():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     for f in queries.QUERIES.values():
         assert not {"limit", "sample", "filter"} & set(inspect.getsource(f).replace("(", ".").split("."))
+
+
+def test_stages_bound_what_goes_to_a_worker(spark, make, sf):
+    """Batches of bounded bytes; a bound that the session has stays."""
+    seen = lambda docs: max(r.n for r in docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect())
+    long = make(["word " * 4000] * 1000)
+    spark.conf.unset(storage.BATCH_CONF)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[-1:]:
+            spark.conf.unset(storage.BATCH_CONF)
+            assert seen(long) > 15 << 20
+            stage(spark, long, sf)
+            assert seen(long) < 5 << 20
+        spark.conf.set(storage.BATCH_CONF, "1m")
+        corpus_pipeline.encode(spark, long, sf)
+        assert spark.conf.get(storage.BATCH_CONF) == "1m"
+    finally:
+        spark.conf.unset(storage.BATCH_CONF)
+    out = corpus_pipeline.reject_toxic(spark, long, sf)
+    assert out.columns == long.columns and out.dtypes == long.dtypes
